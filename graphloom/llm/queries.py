@@ -21,9 +21,39 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from graphloom.llm.best_fit_packing import sum_of_squares_packing, token_pieces
+
+    docs = read_table(spark, sf_dir, "documents")
+    return sum_of_squares_packing(token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False))
+
+
+def op7_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphloom.llm.compression_language import classify, held_out, learn_dictionaries
+
+    docs = read_table(spark, sf_dir, "documents")
+    out = held_out(F.col("doc_id"))
+    found = classify(docs, learn_dictionaries(docs.where(~out)))
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
+def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from graphloom.llm.bpe_automaton import bpe_decode, bpe_encode
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+    coded = bpe_decode(bpe_encode(read_table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_substring_dedup": op3_substring_dedup,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op7_compression_language": op7_compression_language,
+    "op10_bpe_automaton": op10_bpe_automaton,
 }
 
 #: Queries that SQL can express at the size of whole tables.
