@@ -57,6 +57,32 @@ def learn_dictionaries(labelled: DataFrame, label_col: str = "lang", text_col: s
     return out
 
 
+def _judge(texts: list, dictionaries: dict[str, bytes], min_margin: float, level: int) -> list[tuple]:
+    """(language, score, margin, rejected) of each text."""
+    import regex
+
+    key = (tuple(sorted(dictionaries.items())), level)
+    if key not in _ready:
+        _ready.clear()
+        _ready[key] = _coders(dictionaries, level), regex.compile(r"\p{L}").search
+    by_name, letter = _ready[key]
+    names, coders, rows = list(by_name), list(by_name.values()), []
+    for text in texts:
+        if not coders or text is None or not letter(text):
+            rows.append(("und", 0.0, 0.0, True))
+            continue
+        data = normalise(text).encode()
+        sizes = [len(c(data)) for c in coders]
+        best = min(range(len(sizes)), key=sizes.__getitem__)
+        second = min((s for i, s in enumerate(sizes) if i != best), default=0)
+        margin = 1.0 - sizes[best] / second if second else 1.0
+        rows.append((names[best], 1.0 - sizes[best] * len(sizes) / sum(sizes), margin, margin < min_margin))
+    return rows
+
+
+_ready: dict = {}
+
+
 def classify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", min_margin: float = 0.0005, level: int = 6) -> DataFrame:
     """(doc_id, lang_pred, score, margin, rejected) for every row, from its whole text alone.
 
@@ -68,26 +94,11 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
 
     def run(batches):
         import pyarrow as pa
-        import regex
 
-        letter = regex.compile(r"\p{L}").search
-        by_name = _coders(dictionaries, level)
-        names, coders = list(by_name), list(by_name.values())
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in K.blocks([len(t or "") for t in texts], 1 << 23):
-                rows = []
-                for text in texts[a:b]:
-                    if not coders or text is None or not letter(text):
-                        rows.append(("und", 0.0, 0.0, True))
-                        continue
-                    data = normalise(text).encode()
-                    sizes = [len(c(data)) for c in coders]
-                    best = min(range(len(sizes)), key=sizes.__getitem__)
-                    second = min((s for i, s in enumerate(sizes) if i != best), default=0)
-                    margin = 1.0 - sizes[best] / second if second else 1.0
-                    rows.append((names[best], 1.0 - sizes[best] * len(sizes) / sum(sizes), margin, margin < min_margin))
-                lang, score, margin, rejected = zip(*rows, strict=True)
+                lang, score, margin, rejected = zip(*_judge(texts[a:b], dictionaries, min_margin, level), strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "lang_pred", "score", "margin", "rejected"])
 
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -97,3 +108,17 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
 def held_out(id_column):
     """Whether crc32 of the id as text leaves 2 modulo 4; a null id is not held out."""
     return F.coalesce(F.pmod(F.crc32(id_column.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+
+
+def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", min_margin: float = 0.0005, level: int = 6) -> DataFrame:
+    """docs, all columns as they are, without the rows that classify() rejects. Rows do not move between partitions."""
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            judged = _judge(batch.column(place).to_pylist(), dictionaries, min_margin, level)
+            yield batch.filter(pa.array([not rejected for *_, rejected in judged], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -53,20 +53,8 @@ def _text_measures(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_repeat_words", covered.cast("long")).drop("grams", "bits", "ranked", "starts")
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 50, max_repeat_percent: int = 50, min_docs: int = 20, max_share: float = 0.05, max_depletion: float = 0.5) -> DataFrame:
-    """Verdict for every row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
-    line_chars, removed_chars and removed_marks (hashes of the lines that go).
-
-    base_failed: fewer than min_words words, or more than max_repeat_percent % of words in 3-word windows that come twice
-    or more. A line goes when more different texts of its host hold it than max(min_docs, max_share of the host's different
-    texts); exact copies count once, so that copies alone never make a line boilerplate. A row is kept unless base_failed
-    or more than max_depletion of the characters of its lines go.
-
-    Null and empty texts have no words and fail the base rules. A null host is a host of its own. Null and repeated ids
-    are kept as they are, one row each. Other columns are ignored. An empty table gives an empty result.
-    """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(F.xxhash64(F.col(host_col).cast("string")), F.lit(0)).alias("host"))
-    measured = _text_measures(base).withColumns({"row": F.monotonically_increasing_id(), "content": F.xxhash64("text")}).drop("text")
+def _verdicts(measured: DataFrame, min_words: int, max_repeat_percent: int, min_docs: int, max_share: float, max_depletion: float) -> DataFrame:
+    """Rows of _measured() with base_failed, kept, line_chars, removed_chars and removed_marks."""
     measured = materialize(measured, "quality-measures")
     firsts = measured.groupBy("host", "content").agg(F.min("row").alias("row"))
     hosts = firsts.groupBy("host").agg(F.count(F.lit(1)).alias("texts"))
@@ -80,7 +68,31 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     line_chars = F.aggregate("marks", F.lit(0).cast("long"), lambda acc, m: acc + m["chars"])
     out = out.withColumns({"base_failed": failed, "line_chars": line_chars, "removed_chars": F.coalesce("removed_chars", F.lit(0)).cast("long"), "removed_marks": F.coalesce("removed_marks", F.array().cast("array<bigint>"))})
-    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("removed_chars") <= F.col("line_chars") * max_depletion))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("removed_chars") <= F.col("line_chars") * max_depletion))
+
+
+def _host(host_col: str) -> Column:
+    return F.coalesce(F.xxhash64(F.col(host_col).cast("string")), F.lit(0))
+
+
+def _measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
+    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), _host(host_col).alias("host"))
+    return _text_measures(base).withColumns({"row": F.monotonically_increasing_id(), "content": F.xxhash64("text")}).drop("text")
+
+
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_words: int = 50, max_repeat_percent: int = 50, min_docs: int = 20, max_share: float = 0.05, max_depletion: float = 0.5) -> DataFrame:
+    """Verdict for every row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
+    line_chars, removed_chars and removed_marks (hashes of the lines that go).
+
+    base_failed: fewer than min_words words, or more than max_repeat_percent % of words in 3-word windows that come twice
+    or more. A line goes when more different texts of its host hold it than max(min_docs, max_share of the host's different
+    texts); exact copies count once, so that copies alone never make a line boilerplate. A row is kept unless base_failed
+    or more than max_depletion of the characters of its lines go.
+
+    Null and empty texts have no words and fail the base rules. A null host is a host of its own. Null and repeated ids
+    are kept as they are, one row each. Other columns are ignored. An empty table gives an empty result.
+    """
+    out = _verdicts(_measured(docs, id_col, text_col, host_col), min_words, max_repeat_percent, min_docs, max_share, max_depletion)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "line_chars", "removed_chars", "removed_marks")
 
 
@@ -88,3 +100,15 @@ def without_lines(text: Column, removed_marks: Column) -> Column:
     """The text without the lines whose hashes are listed; unchanged where none is."""
     kept = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(removed_marks, F.xxhash64(normalised(x))))
     return F.when(F.size(removed_marks) > 0, F.array_join(kept, "\n")).otherwise(text)
+
+
+def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
+    """docs, all columns as they are but for texts, which lose their boilerplate lines, without the rows that
+    quality_rules() rejects. A verdict depends on text and host alone; rows find theirs by id, text and host."""
+    limits = {"min_words": 50, "max_repeat_percent": 50, "min_docs": 20, "max_share": 0.05, "max_depletion": 0.5} | limits
+    found = _verdicts(_measured(docs, id_col, text_col, host_col), **limits).where("kept")
+    spread = F.coalesce(F.xxhash64("doc_id"), F.lit(0))
+    found = found.select(spread.alias("__id"), F.col("content").alias("__content"), F.col("host").alias("__host"), "removed_marks").withColumnRenamed("removed_marks", "__marks").dropDuplicates(["__id", "__content", "__host"])
+    keyed = docs.withColumns({"__id": F.coalesce(F.xxhash64(id_col), F.lit(0)), "__content": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), "__host": _host(host_col)})
+    out = keyed.join(found, ["__id", "__content", "__host"])
+    return out.withColumn(text_col, without_lines(F.col(text_col), F.col("__marks"))).select(*docs.columns)
