@@ -3,9 +3,10 @@
 1. Every text becomes its set of distinct n-word shingles, in one global order (by hash value).
 2. Pigeonhole signatures find candidates without missing any: for set sizes near each other, the universe is cut into
    more parts than two linked sets can differ in, so linked sets agree on a whole non-empty part. Documents that
-   share a part's signature are joined to the smallest of them: a star, never all pairs.
+   share a part's signature are joined to the smallest of them: a star, never all pairs. Very frequent shingles (a bounded
+   list, by counts over all documents) stay out of the parts, so that a common passage does not join what holds it.
 3. Each connected group of candidates is cut into blocks of bounded size. In a block the sets go into a prefix tree
-   whose branches share tokens; a probing set walks it carrying partial overlaps and leaves a branch when the
+   (rare tokens of the block first) whose branches share tokens; a probing set enters it by the tokens of its prefix, walks it carrying partial overlaps and leaves a branch when the
    remaining lengths cannot reach the threshold, or when all below is already in its own component.
 4. Blocks of one group first compare representatives; only components that stay apart are compared block by block.
 """
@@ -21,12 +22,15 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import kernels as K
 from graphloom.llm.components import connected_components
+from graphloom.llm.substring_dedup import member
 from graphloom.storage import materialize, plan_bytes
 
 U = np.uint64
 CHUNK = 1 << 21
 #: Shingles that one block of a candidate group may hold: 8 MB.
 BLOCK_TOKENS = 1 << 20
+#: At most so many frequent shingles (2 MB) are set aside when parts are formed; which ones, decides speed alone.
+HOT_TOKENS, HOT_TIMES = 1 << 18, 8
 
 
 def shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,27 +72,57 @@ class Partitions:
             self.starts.append(self.starts[-1] * self.den // self.num + 1)
         return (self.den - self.num) * (self.starts[k + 1] - 1) // self.num
 
-    def signatures(self, sets: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(signature, index of the set) for the schemes of each set's own class and the one below."""
+    def layout(self, own: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scheme of each set, the parts in which linked sets can differ at most, and the parts that the scheme has."""
+        k = own - shift
+        most = np.array([self.differences(x) if x >= 0 else 0 for x in range(-1, int(own.max(initial=0)) + 1)], np.int64)[k + 1]
+        return k, most, np.where(most > 0, (most + 1) * 5 // 4 + 4, 0)
+
+    def _parts(self, sets, owner, parts):
+        """Runs of one part: first token of each, its set and its part number."""
+        h = sets >> U(32)
+        part = (h * parts[owner].astype(U)) >> U(32)
+        first = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (owner[1:] != owner[:-1]))))
+        return first, owner[first], part[first]
+
+    def small_parts(self, sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Tokens that stand in parts of one or two: where such a token is frequent, parts say little about likeness."""
+        own, owner = self.classes(np.diff(bounds)), K.span_owner(bounds)
+        _, _, parts = self.layout(own, 0)
+        use = parts[owner] > 0
+        if not use.any():
+            return sets[:0]
+        tokens = sets[use]
+        first, _, _ = self._parts(tokens, owner[use], parts)
+        runs = np.diff(np.append(first, len(tokens)))
+        return tokens[np.repeat(runs <= 2, runs)]
+
+    def signatures(self, sets: np.ndarray, bounds: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(signature, index of the set) for the schemes of each set's own class and the one below.
+
+        Parts are formed of the tokens outside hot: linked sets differ there in no more tokens than over all. A set that has
+        too few such parts for the pigeonhole also gives the parts of all its tokens, and then those it leaves empty.
+        """
         sizes = np.diff(bounds)
-        own, outs = self.classes(sizes), []
-        owner = K.span_owner(bounds)
+        own, owner, outs = self.classes(sizes), K.span_owner(bounds), []
+        cool = ~member(sets, hot)
         for shift in (0, 1):
-            k = own - shift
-            most = np.array([self.differences(int(x)) if x >= 0 else 0 for x in range(-1, int(own.max(initial=0)) + 1)], np.int64)[k + 1]
-            parts = np.where(most > 0, (most + 1) * 5 // 4 + 4, 0)
-            use = parts[owner] > 0
-            if not use.any():
-                continue
-            h, o = sets[use], owner[use]
-            part = ((h >> U(32)) * parts[o].astype(U)) >> U(32)
-            first = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (o[1:] != o[:-1]))))
-            sums = np.add.reduceat(K.mix(h ^ U(0xA5A5A5A5)), first)
-            o, part = o[first], part[first]
-            outs.append((K.mix(sums + K.mix(part + (k[o].astype(U) << U(32)))), o))
-            # sets with too few non-empty parts also match on the parts that they leave empty
-            filled = np.bincount(o, minlength=len(sizes))
-            for i in np.flatnonzero((parts > 0) & (sizes > 0) & (filled <= most)):
+            k, most, parts = self.layout(own, shift)
+            short = parts > 0
+            for tier, pick in ((0, cool), (1, None)):
+                use = short[owner] if pick is None else short[owner] & pick
+                if use.any():
+                    h = sets[use]
+                    first, o, part = self._parts(h, owner[use], parts)
+                    sums = np.add.reduceat(K.mix(h ^ U(0xA5A5A5A5 + tier)), first)
+                    outs.append((K.mix(sums + K.mix(part + (k[o].astype(U) << U(32)))), o))
+                    filled = np.bincount(o, minlength=len(sizes))
+                else:
+                    o, part, filled = np.zeros(0, np.int64), np.zeros(0, U), np.zeros(len(sizes), np.int64)
+                short = short & (filled <= most)
+                if not short.any():
+                    break
+            for i in np.flatnonzero(short & (sizes > 0)):
                 gaps = np.setdiff1d(np.arange(parts[i], dtype=U), part[o == i])
                 outs.append((K.mix(K.mix(gaps + (U(int(k[i])) << U(32)))), np.full(len(gaps), i)))
         if not outs:
@@ -125,13 +159,26 @@ def _describe(n: int):
     return run
 
 
+def _small_parts(n: int, num: int, den: int):
+    def run(batches):
+        import pyarrow as pa
+
+        scheme = Partitions(num, den)
+        for batch in batches:
+            for _, texts in _texts(batch):
+                tokens, counts = np.unique(scheme.small_parts(*shingle_sets(texts, n)), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(counts)], ["token", "times"])
+
+    return run
+
+
 def _edge_batch(a: np.ndarray, b: np.ndarray):
     import pyarrow as pa
 
     return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], ["a", "b"])
 
 
-def _sign(n: int, num: int, den: int, buckets: int):
+def _sign(n: int, num: int, den: int, buckets: int, hot: np.ndarray):
     """Signatures by bucket; within a chunk, sharers are joined to their smallest document at once (bucket -1 rows)."""
 
     def run(batches):
@@ -152,7 +199,7 @@ def _sign(n: int, num: int, den: int, buckets: int):
                 own = ids[keep]
                 if not len(own):
                     continue
-                sig, who = scheme.signatures(sets, bounds)
+                sig, who = scheme.signatures(sets, bounds, hot)
                 bucket = (sig % U(buckets)).astype(np.int64)
                 order = np.lexsort((who, sig, bucket))
                 sig, who, bucket = sig[order], who[order], bucket[order]
@@ -233,9 +280,15 @@ class PrefixTree:
     """Path-compressed trie of ascending token arrays. Linked: den * overlap >= num * union."""
 
     def __init__(self, num: int, den: int, forest: Forest):
-        self.num, self.den, self.forest, self.roots = num, den, forest, {}
+        self.num, self.den, self.forest, self.roots, self.entries = num, den, forest, {}, {}
+
+    def prefix(self, tokens: np.ndarray) -> list[int]:
+        """Linked sets share a token among the first of each: as many as one can lack, and one more."""
+        return tokens[: len(tokens) - -(-self.num * len(tokens) // self.den) + 1].tolist()
 
     def insert(self, name: int, tokens: np.ndarray) -> None:
+        for token in self.prefix(tokens):
+            self.entries.setdefault(token, set()).add(int(tokens[0]))
         level, at, size = self.roots, 0, len(tokens)
         while True:
             node = level.get(int(tokens[at]))
@@ -261,7 +314,8 @@ class PrefixTree:
     def probe(self, name: int, tokens: np.ndarray) -> Iterator[int]:
         """Sets linked with tokens that are not in name's component yet; the caller joins them as they come."""
         num, den, size, find = self.num, self.den, len(tokens), self.forest.find
-        todo = [(node, 0, 0, 0) for node in self.roots.values()]
+        entries = set().union(*(self.entries.get(token, ()) for token in self.prefix(tokens)))
+        todo = [(self.roots[first], 0, 0, 0) for first in entries]
         while todo:
             node, at, depth, overlap = todo.pop()
             if node.least * num > size * den or size * num > node.most * den or not node.mixed and find(node.member) == find(name):
@@ -280,6 +334,18 @@ class PrefixTree:
             todo.extend((below, at, depth, overlap) for below in node.below.values())
 
 
+def _rare_first(*sides: list) -> list[list]:
+    """Rename tokens by (frequency in the block, hash) and order each set so."""
+    arrays = [tokens for side in sides for _, tokens in side]
+    if not arrays:
+        return list(sides)
+    tokens, back, counts = np.unique(np.concatenate(arrays), return_inverse=True, return_counts=True)
+    rank = np.empty(len(tokens), np.int64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(tokens))
+    ranks = iter(np.split(rank[back], np.cumsum([len(a) for a in arrays])[:-1]))
+    return [[(name, np.sort(next(ranks))) for name, _ in side] for side in sides]
+
+
 def link_block(stored: list, probing: list, known: dict, num: int, den: int, among: bool) -> list[tuple[int, int]]:
     """Edges (member, root) that join what is linked between stored and probing, or within stored if among."""
     forest = Forest()
@@ -287,6 +353,7 @@ def link_block(stored: list, probing: list, known: dict, num: int, den: int, amo
         forest.join(name, root)
     before = {name: forest.find(name) for name, _ in (*stored, *probing)}
     tree = PrefixTree(num, den, forest)
+    stored, probing = _rare_first(stored, probing)
     for name, tokens in stored:
         if among:
             for other in tree.probe(name, tokens):
@@ -362,7 +429,10 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     known = base.where("doc_id is not null")
     sets = materialize(base.mapInArrow(_describe(n), "doc_id long, n_shingles long, k1 long, k2 long"), label)
     firsts = sets.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
-    signed = known.mapInArrow(_sign(n, num, den, buckets), "bucket int, payload binary")
+    small = known.mapInArrow(_small_parts(n, num, den), "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
+    small = small.where(F.col("times") >= HOT_TIMES).orderBy(F.desc("times"), "token").limit(HOT_TOKENS)
+    hot = np.sort(small.select("token").toPandas()["token"].to_numpy(np.int64).view(U))
+    signed = known.mapInArrow(_sign(n, num, den, buckets, hot), "bucket int, payload binary")
     stars = signed.repartition(buckets, F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.xxhash64("payload"))).mapInArrow(_stars, "a long, b long")
     groups = materialize(connected_components(stars, f"{label}-candidates"), f"{label}-groups")
     # equal sets are one member of their group: the smallest document
