@@ -13,6 +13,7 @@
 
 from __future__ import annotations
 
+import struct
 import uuid
 from collections.abc import Iterator
 
@@ -183,8 +184,9 @@ def _sign(n: int, num: int, den: int, buckets: int, hot: np.ndarray):
 
     def run(batches):
         import pyarrow as pa
+        import zstandard
 
-        scheme = Partitions(num, den)
+        squeeze, scheme = zstandard.ZstdCompressor(level=1).compress, Partitions(num, den)
         for batch in batches:
             for ids, texts in _texts(batch):
                 order = np.argsort(ids, kind="stable")
@@ -214,39 +216,72 @@ def _sign(n: int, num: int, den: int, buckets: int, hot: np.ndarray):
                     if a < b:  # documents in order, so that each is named once for a run of signatures
                         by_doc = np.argsort(who[a:b], kind="stable")
                         docs, runs = np.unique(who[a:b], return_counts=True)
-                        rows.append((k, np.int64(len(docs)).tobytes() + own[docs].astype(np.int64).tobytes() + runs.astype(np.uint32).tobytes() + sig[a:b][by_doc].tobytes()))
+                        head = squeeze(np.diff(own[docs].astype(np.int64), prepend=0).tobytes() + runs.astype(np.uint32).tobytes())
+                        rows.append((k, struct.pack("<II", len(docs), len(head)) + head + sig[a:b][by_doc].tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "payload"])
 
     return run
 
 
-def _stars(batches):
-    """All signatures of the task's buckets: whoever shares one is joined to the smallest document that has it."""
-    sigs, docs = [], []
-    for batch in batches:
-        for bucket, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if bucket < 0:
-                pairs = np.frombuffer(payload, np.int64).reshape(-1, 2)
-                yield _edge_batch(pairs[:, 1], pairs[:, 0])
-                continue
-            count = int(np.frombuffer(payload, np.int64, 1)[0])
-            own = np.frombuffer(payload, np.int64, count, 8)
-            runs = np.frombuffer(payload, np.uint32, count, 8 + 8 * count)
-            docs.append(np.repeat(own, runs))
-            sigs.append(np.frombuffer(payload, U, -1, 8 + 12 * count))
-    if not sigs:
-        return
-    sig, doc = np.concatenate(sigs), np.concatenate(docs)
-    del sigs, docs
-    order = np.argsort(sig, kind="stable")
-    sig, doc = sig[order], doc[order]
-    lead = np.concatenate(([True], sig[1:] != sig[:-1]))
-    start = np.flatnonzero(lead)
-    low = np.repeat(np.minimum.reduceat(doc, start), np.diff(np.append(start, len(sig))))
-    pick = low != doc
-    if pick.any():
-        pairs = np.unique(np.stack([doc[pick], low[pick]], 1), axis=0)
-        yield _edge_batch(pairs[:, 0], pairs[:, 1])
+def _stars(parts: int):
+    """All signatures of the task's buckets: whoever shares one is joined to the smallest document that has it.
+
+    A task's stars are merged, and leave as packed pairs by a part of the larger end."""
+
+    def run(batches):
+        import pyarrow as pa
+        import zstandard
+
+        inflate = zstandard.ZstdDecompressor().decompress
+        sigs, docs, found = [], [], []
+        for batch in batches:
+            for bucket, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if bucket < 0:
+                    found.append(np.frombuffer(payload, np.int64).reshape(-1, 2)[:, ::-1])
+                    continue
+                count, size = struct.unpack_from("<II", payload)
+                head = inflate(payload[8 : 8 + size])
+                docs.append(np.repeat(np.cumsum(np.frombuffer(head, np.int64, count)), np.frombuffer(head, np.uint32, count, 8 * count)))
+                sigs.append(np.frombuffer(payload, U, -1, 8 + size))
+        if sigs:
+            sig, doc = np.concatenate(sigs), np.concatenate(docs)
+            del sigs, docs
+            order = np.argsort(sig, kind="stable")
+            sig, doc = sig[order], doc[order]
+            start = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+            low = np.repeat(np.minimum.reduceat(doc, start), np.diff(np.append(start, len(sig))))
+            pick = low != doc
+            found.append(np.stack([doc[pick], low[pick]], 1))
+        pairs = _contract(found)
+        if len(pairs):
+            part = (K.mix(pairs[:, 0].astype(U)) % U(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            names, first = np.unique(part[order], return_index=True)
+            blobs = [pairs[own].tobytes() for own in np.split(order, first[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["part", "payload"])
+
+    return run
+
+
+def _contract(found: list[np.ndarray]) -> np.ndarray:
+    """(member, root) pairs that connect what the given pairs connect: one for each member that is no root."""
+    if not found:
+        return np.zeros((0, 2), np.int64)
+    pairs = np.unique(np.concatenate(found), axis=0)
+    forest = Forest()
+    for x, y in pairs.tolist():
+        forest.join(x, y)
+    members = list(forest.up)
+    out = np.array([(x, forest.find(x)) for x in members], np.int64).reshape(-1, 2)
+    return out[out[:, 0] != out[:, 1]]
+
+
+def _merge(batches):
+    """Packed pairs of one part of the documents to edges: each document to the smallest it was joined to, and those to it."""
+    blobs = [np.frombuffer(p, np.int64).reshape(-1, 2) for batch in batches for p in batch.column(1).to_pylist()]
+    edges = _contract(blobs)
+    if len(edges):
+        yield _edge_batch(edges[:, 0], edges[:, 1])
 
 
 class Forest:
@@ -433,7 +468,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     small = small.where(F.col("times") >= HOT_TIMES).orderBy(F.desc("times"), "token").limit(HOT_TOKENS)
     hot = np.sort(small.select("token").toPandas()["token"].to_numpy(np.int64).view(U))
     signed = known.mapInArrow(_sign(n, num, den, buckets, hot), "bucket int, payload binary")
-    stars = signed.repartition(buckets, F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.xxhash64("payload"))).mapInArrow(_stars, "a long, b long")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    met = signed.repartition(buckets, F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.xxhash64("payload"))).mapInArrow(_stars(tasks), "part int, payload binary")
+    stars = met.repartition(tasks, "part").mapInArrow(_merge, "a long, b long")
     groups = materialize(connected_components(stars, f"{label}-candidates"), f"{label}-groups")
     # equal sets are one member of their group: the smallest document
     members = groups.join(firsts.select(F.col("rep").alias("id"), "n"), "id")
