@@ -39,6 +39,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of df (file sizes for scans); used only to choose partition counts."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size.toString()) if hasattr(size, "toString") else int(str(size))
+    """Catalyst's size estimate of df: file sizes for scans, products for joins, huge where nothing is known."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def bucket_count(df: DataFrame, bytes_each: int, least: int = 8) -> int:
+    """How many hash buckets of about bytes_each to cut df into: between the session's shuffle partitions and 64 times as
+    many. Estimates beyond a pebibyte count as unknown, for which it is 4 times as many."""
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), least)
+    size = plan_bytes(df)
+    return min(max(size // bytes_each, tasks), 64 * tasks) if size < 1 << 50 else 4 * tasks
