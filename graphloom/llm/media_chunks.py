@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import kernels as K
 from graphloom.llm.substring_dedup import by_bucket, pack_documents
-from graphloom.storage import fresh_path, plan_bytes
+from graphloom.storage import bucket_count, fresh_path
 
 MAGIC = b"SMP8"
 #: Chunk bounds in bytes; on average a cut comes 8 KiB after the least size.
@@ -231,7 +231,7 @@ def store_media(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(plan_bytes(base) // BUCKET_BYTES, tasks, 8)
+    buckets = bucket_count(base, BUCKET_BYTES)
     placed = base.select(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket"), "doc_id", "text")
     refs = placed.select("bucket", "text").mapInArrow(_references, "bucket long, digest binary").distinct()
     owners = refs.groupBy("digest").agg(F.min("bucket").alias("owner"), F.max("bucket").alias("last")).where("owner <> last").drop("last")

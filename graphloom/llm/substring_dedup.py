@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import kernels as K
-from graphloom.storage import plan_bytes
+from graphloom.storage import bucket_count
 
 U = np.uint64
 TOP = U(2**64 - 1)
@@ -352,7 +352,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(plan_bytes(base) // BUCKET_BYTES, tasks, 8)
+    buckets = bucket_count(base, BUCKET_BYTES)
     parts = max(buckets // 2, tasks)
     placed = base.select(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket"), "doc_id", "text")
     packs = placed.mapInArrow(pack_documents, "bucket long, payload binary").select("bucket", F.lit(1).alias("kind"), "payload")
