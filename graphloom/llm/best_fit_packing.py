@@ -2,7 +2,7 @@
 
 A document longer than a sequence is cut; full pieces are sequences of their own. The others are dealt by hash into groups of
 bounded size, longest first within a group, and each is placed where the sum over residual gaps of the squared number of
-open sequences with that gap becomes smallest. A group leaves a handful of open sequences, which is the only cost of
+open sequences with that gap becomes smallest; a new sequence begins where no open one has room. A group leaves a handful of open sequences, which is the only cost of
 packing groups apart from one another.
 """
 
@@ -31,19 +31,20 @@ class SumOfSquares:
         self.count = np.zeros(capacity + 1, np.int64)
 
     def place(self, size: int) -> tuple[int, int]:
-        """(sequence, offset) for a piece of 1 to capacity tokens; ties go to the smallest gap, a new sequence last."""
+        """(sequence, offset) for a piece of 1 to capacity tokens. A new sequence begins only where no open one has room, as
+        all pieces are known and come longest first; ties go to the smallest gap."""
         n, cap = self.count, self.capacity
         # taking gap g: its count falls by one and that of g - size rises by one; gap 0 is closed and not counted
-        change = np.where(n[size:] > 0, n[: cap + 1 - size] - n[size:], np.iinfo(np.int64).max)
-        gain = int(change.argmin())
-        fresh = int(n[cap - size]) if size < cap else 0
-        if change[gain] == np.iinfo(np.int64).max or 2 * fresh + 1 < 2 * int(change[gain]) + (2 if gain else 1):
-            sequence, gap = self.made, cap
-            self.made += 1
-        else:
-            gap = gain + size
+        change = 2 * (n[: cap + 1 - size] - n[size:]) + 2
+        change[0] = 1 - 2 * n[size]
+        gain = int(np.where(n[size:] > 0, change, np.iinfo(np.int64).max).argmin())
+        gap = gain + size
+        if n[gap]:
             sequence = self.open[gap].pop()
             n[gap] -= 1
+        else:
+            sequence, gap = self.made, cap
+            self.made += 1
         if gap > size:
             self.open[gap - size].append(sequence)
             n[gap - size] += 1
