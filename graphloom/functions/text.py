@@ -43,7 +43,7 @@ def answers_match(pred: Column, gold: Column) -> Column:
 
 def parse_answers(text: Column, separator: str) -> Column:
     """Non-empty trimmed parts of a separated list."""
-    return F.filter(F.transform(F.split(text, separator), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, separator), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def answer_scores(pred: Column, gold: Column) -> dict[str, Column]:
