@@ -118,3 +118,46 @@ def multiset_gaps(a: DataFrame, b: DataFrame) -> DataFrame:
     count = lambda df, c: df.groupBy("id", "item").agg(F.count(F.lit(1)).alias(c))
     both = count(a, "na").join(count(b, "nb"), ["id", "item"], "full_outer").na.fill(0, ["na", "nb"])
     return both.groupBy("id").agg(F.sum(F.greatest(F.col("na") - F.col("nb"), F.lit(0))).alias("only_a"), F.sum(F.greatest(F.col("nb") - F.col("na"), F.lit(0))).alias("only_b"))
+
+
+def contract_mediators(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Remove unnamed mediators, joining every relation into them with every relation out of them.
+
+    nodes (qid, node, is_rel, unnamed, is_topic), edges (qid, src, dst) entity -> relation -> entity. A mediator goes if it
+    has relations on both sides and at most one entity leads to it through them. In name order: a removal changes what later
+    mediators see, so a question's graph is handled whole, questions apart from one another."""
+
+    def run(key, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        into, out = {}, {}
+        for src, dst in zip(e["src"], e["dst"]):
+            out.setdefault(src, set()).add(dst)
+            into.setdefault(dst, set()).add(src)
+        gone = []
+        for node in sorted(n.loc[n["unnamed"] & ~n["is_topic"] & ~n["is_rel"], "node"]):
+            before, after = into.get(node, set()), out.get(node, set())
+            above = set().union(*(into.get(r, set()) for r in before)) if before else set()
+            if not before or not after or len(above) > 1:
+                continue
+            gone.append(node)
+            for r in before:
+                out[r] = (out[r] - {node}) | after
+            for r in after:
+                into[r] = (into[r] - {node}) | before
+            into.pop(node), out.pop(node)
+        rows = [(key[0], s, d) for s, ds in out.items() for d in ds if s not in gone]
+        rows += [(key[0], g, None) for g in gone]
+        return pd.DataFrame(rows, columns=["qid", "src", "dst"])
+
+    kind = dict(nodes.dtypes)["qid"]
+    edges = edges.select(*(F.col(c).alias(c) for c in ("qid", "src", "dst")))  # both sides may come from one table
+    done = nodes.groupBy("qid").cogroup(edges.groupBy("qid")).applyInPandas(run, f"qid {kind}, src string, dst string")
+    done = materialize(done, "mediators")
+    removed = done.where("dst is null").select("qid", F.col("src").alias("node"))
+    return nodes.join(removed, ["qid", "node"], "left_anti"), done.where("dst is not null")
+
+
+def shared_first(edges: DataFrame) -> DataFrame:
+    """(graph_id, a, b): pairs a < b of sources whose first targets are the same."""
+    first = edges.groupBy("graph_id", "src").agg(F.min("dst").alias("boss"))
+    x, y = first.alias("x"), first.alias("y")
+    return x.join(y, F.expr("x.graph_id = y.graph_id and x.boss = y.boss and x.src < y.src")).select("x.graph_id", F.col("x.src").alias("a"), F.col("y.src").alias("b"))

@@ -74,6 +74,14 @@ def stride(rows: DataFrame, order: str, limit: int, one_based: bool = False) ->
     return rows.withColumns({"__rn": rn - (0 if one_based else 1), "__s": step}).where(F.col("__rn") % F.col("__s") == 0).drop("__rn", "__s")
 
 
+def strided_blocks(rows: DataFrame, order: str, limit: int, block: int = 50) -> DataFrame:
+    """At most limit rows (all if they are no more): limit // block runs of block rows, evenly spread in order."""
+    pieces, w = limit // block, Window.partitionBy(F.lit(0))
+    n = F.count(F.lit(1)).over(w)
+    rows = rows.withColumns({"__i": F.row_number().over(w.orderBy(order)) - 1, "__s": F.ceil(n / pieces), "__n": n})
+    return rows.where((F.col("__n") <= limit) | (F.col("__i") % F.col("__s") < block)).drop("__i", "__s", "__n")
+
+
 def seeded_sample(rows: DataFrame, key: str, n: int, seed: str) -> DataFrame:
     """A fixed draw of n rows by the SHA-256 of seed and key."""
     mark = F.sha2(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")), 256)

@@ -77,3 +77,39 @@ def attention_density(mask: DataFrame, lengths: DataFrame, block: int) -> DataFr
     blocks = F.ceil(F.col("n") / block)
     seen = mask.groupBy("graph_id").agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct(F.floor(F.col("q") / block), F.floor(F.col("k") / block)).alias("hit"))
     return seen.join(lengths, "graph_id").select("graph_id", (F.col("pairs") / (F.col("n") * F.col("n"))).alias("density"), (F.col("hit") / (blocks * blocks)).alias("block_density"))
+
+
+def prefix_mask_pairs(nodes: DataFrame, allowed: DataFrame) -> DataFrame:
+    """(graph_id, blocked, pairs): token pairs of different prefix nodes that the node mask (graph_id, i, j) blocks, and all."""
+    part = nodes.where(~F.col("is_prompt")).select("graph_id", "node", "len")
+    a, b = part.alias("a"), part.alias("b")
+    pairs = a.join(b, F.expr("a.graph_id = b.graph_id and a.node <> b.node")).select("a.graph_id", F.col("a.node").alias("i"), F.col("b.node").alias("j"), (F.col("a.len") * F.col("b.len")).alias("w"))
+    seen = pairs.join(allowed.select("graph_id", "i", "j", F.lit(True).alias("hit")), ["graph_id", "i", "j"], "left")
+    return seen.groupBy("graph_id").agg(F.sum(F.when(F.col("hit").isNull(), F.col("w")).otherwise(0)).alias("blocked"), F.sum("w").alias("pairs"))
+
+
+def structural_mask(tokens: DataFrame, allowed: DataFrame) -> DataFrame:
+    """(graph_id, q, k): token pairs that are causal or both of the prefix, allowed by the node mask, or on the diagonal.
+
+    tokens (graph_id, pos, node, is_prompt)."""
+    t = tokens.select("graph_id", "pos", "node", "is_prompt")
+    a, b = t.alias("a"), t.alias("b")
+    pairs = a.join(b, F.expr("a.graph_id = b.graph_id and (b.pos <= a.pos or (not a.is_prompt and not b.is_prompt))"))
+    rows = pairs.select("a.graph_id", F.col("a.pos").alias("q"), F.col("b.pos").alias("k"), F.col("a.node").alias("i"), F.col("b.node").alias("j"))
+    inside = rows.join(allowed.select("graph_id", "i", "j"), ["graph_id", "i", "j"], "left_semi").select("graph_id", "q", "k")
+    return inside.unionByName(t.select("graph_id", F.col("pos").alias("q"), F.col("pos").alias("k"))).distinct()
+
+
+def pair_bias(tokens: DataFrame, bias: DataFrame) -> DataFrame:
+    """(graph_id, q, k, bias): node-pair values (graph_id, i, j, bias) for all token pairs of those nodes."""
+    a = tokens.select("graph_id", F.col("pos").alias("q"), F.col("node").alias("i"))
+    b = tokens.select("graph_id", F.col("pos").alias("k"), F.col("node").alias("j"))
+    return bias.join(a, ["graph_id", "i"]).join(b, ["graph_id", "j"]).select("graph_id", "q", "k", "bias")
+
+
+def drop_lines(lines: Column, sizes: Column, limit: int, step: int = 8) -> Column:
+    """Lines left when the last step lines go again and again until their sizes fit limit."""
+    total = lambda n: F.aggregate(F.slice(sizes, F.lit(1), n), F.lit(0), lambda a, x: a + x)
+    counts = F.transform(F.sequence(F.lit(0), F.ceil(F.size(lines) / step).cast("int")), lambda i: F.greatest(F.size(lines) - i * step, F.lit(0)))
+    fits = F.array_max(F.filter(counts, lambda n: total(n) <= limit))
+    return F.slice(lines, F.lit(1), F.coalesce(fits, F.lit(0)))
