@@ -30,10 +30,10 @@ def flt12(spark, sf):
     return spark.createDataFrame([(n,) for n in names], "tbl string")
 
 
-@register("FLT13_downcast", "SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x)), 3) AS total FROM embeddings")
+@register("FLT13_downcast", "SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: abs(x))), 3) AS total FROM embeddings")
 def flt13(spark, sf):
     small = table(spark, sf, "embeddings", "vec_id", F.col("embedding").cast("array<double>").cast("array<float>").alias("e"))
-    return small.select("vec_id", F.round(F.aggregate("e", F.lit(0.0), lambda a, x: a + x.cast("double")), 3).alias("total"))
+    return small.select("vec_id", F.round(F.aggregate("e", F.lit(0.0), lambda a, x: a + F.abs(x.cast("double"))), 3).alias("total"))
 
 
 @register("FLT14_assign_label", "SELECT conv_id AS graph_id, 'chat' AS ds_label FROM conversations GROUP BY 1")
