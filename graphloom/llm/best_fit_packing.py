@@ -19,8 +19,42 @@ from graphloom.storage import materialize
 
 #: Pieces in one group, on average; each costs a few microseconds and some 100 bytes in the task that packs it.
 GROUP = 1 << 17
-#: Words whose ids a worker remembers.
-WORDS = 400_000
+#: Words, and their cores, in each of the two generations that a worker remembers.
+WORDS, CORES = 150_000, 300_000
+#: ASCII punctuation that, at a word's end, tokenizers split off as one piece of its own.
+TAIL = b".,;:!?$*%&#|"
+
+
+class Recent:
+    """Values of recently used keys, in two generations: what is used again while old becomes young."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def absent(self, keys) -> list:
+        """Keys in neither generation; the others are young from now on."""
+        if len(self.young) > self.size:
+            self.old, self.young = self.young, {}
+        young, old, rest = self.young, self.old, []
+        for key in keys:
+            if key not in young:
+                value = old.get(key)
+                if value is None:
+                    rest.append(key)
+                else:
+                    young[key] = value
+        return rest
+
+
+def split_tail(word: bytes) -> tuple[bytes, bytes]:
+    """(core, tail): the tail is punctuation after a letter or digit, which starts a piece of its own; an ASCII core is
+    lower-cased, as the vocabulary does. Words with '<', where special strings may begin, stay whole."""
+    if b"<" in word:
+        return word, b""
+    core = word.rstrip(TAIL)
+    if len(core) == len(word) or not core or not (core[-1:].isalnum() or core[-1] >= 128 and core.decode()[-1].lower()[-1].isalpha()):
+        core = word
+    return core.lower() if core.isascii() else core, word[len(core) :]
 
 
 class SumOfSquares:
@@ -54,8 +88,9 @@ class SumOfSquares:
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): each whole text's token ids and end_id, cut at multiples of capacity.
 
-    tokenizer_path names a tokenizers JSON file that executors can read and whose pre-tokenizer drops white space, so that
-    ids of a text are those of its words. Null and empty texts are end_id alone. Null and repeated ids are kept as they
+    tokenizer_path names a tokenizers JSON file that executors can read. Its vocabulary folds case and its pre-tokenizer drops
+    white space and parts punctuation from words, so that ids of a text are those of its words' parts: the library encodes
+    each part when a worker meets it. Null and empty texts are end_id alone. Null and repeated ids are kept as they
     are. ids_crc32 is over little-endian unsigned 32-bit ids.
     """
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
@@ -65,22 +100,23 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity
         from tokenizers import Tokenizer
 
         encode = Tokenizer.from_file(tokenizer_path).encode_batch_fast
-        known: dict[bytes, bytes] = {}
+        known, cores = Recent(WORDS), Recent(CORES)
         tail = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             docs, texts = batch.column(0).to_pylist(), K.as_bytes(batch.column(1))
             for a, b in K.blocks([len(t) for t in texts], 1 << 21):
                 words = [t.split() for t in texts[a:b]]
-                if len(known) > WORDS:
-                    known.clear()
-                missing = list({w for own in words for w in own}.difference(known))
+                parts = {w: split_tail(w) for w in known.absent(set().union(*words))}
+                missing = cores.absent({p for pair in parts.values() for p in pair})
                 for i in range(0, len(missing), 10_000):
-                    part = missing[i : i + 10_000]
-                    for word, code in zip(part, encode([w.decode() for w in part], add_special_tokens=False), strict=True):
-                        known[word] = np.array(code.ids, "<u4").tobytes()
+                    some = missing[i : i + 10_000]
+                    for core, code in zip(some, encode([w.decode() for w in some], add_special_tokens=False), strict=True):
+                        cores.young[core] = np.array(code.ids, "<u4").tobytes()
+                for word, (core, end) in parts.items():
+                    known.young[word] = cores.young[core] + cores.young[end]
                 rows = []
                 for doc, own in zip(docs[a:b], words, strict=True):
-                    data = b"".join(map(known.__getitem__, own)) + tail
+                    data = b"".join(map(known.young.__getitem__, own)) + tail
                     for piece, start in enumerate(range(0, len(data), 4 * capacity)):
                         ids = data[start : start + 4 * capacity]
                         rows.append((doc, piece, start // 4, len(ids) // 4, zlib.crc32(ids), np.frombuffer(ids, "<u4").astype(np.int64) if with_ids else None))
