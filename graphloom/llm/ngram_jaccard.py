@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from graphloom.llm import kernels as K
 from graphloom.llm.components import connected_components
 from graphloom.llm.substring_dedup import member
-from graphloom.storage import materialize, plan_bytes
+from graphloom.storage import bucket_count, materialize
 
 U = np.uint64
 CHUNK = 1 << 21
@@ -152,10 +152,11 @@ def _describe(n: int):
         import pyarrow as pa
 
         for batch in batches:
-            for ids, texts in _texts(batch):
-                sets, bounds = shingle_sets(texts, n)
+            texts = K.as_bytes(batch.column(1))
+            for a, b in K.blocks([len(t) for t in texts], CHUNK):
+                sets, bounds = shingle_sets(texts[a:b], n)
                 keys = _keys(sets, bounds)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.diff(bounds)), pa.array(keys[:, 0]), pa.array(keys[:, 1])], ["doc_id", "n_shingles", "k1", "k2"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(bounds)), pa.array(keys[:, 0]), pa.array(keys[:, 1])], ["doc_id", "n_shingles", "k1", "k2"])
 
     return run
 
@@ -445,6 +446,19 @@ def _tokens(n: int):
     return run
 
 
+#: Bits by hash of an id (2 MiB, in at most 2**18 rows of 64) that let most documents outside all groups stay where they are.
+ID_BITS = 1 << 24
+
+
+def maybe_listed(rows: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """rows whose id is in ids, and a few others: a filter by a bit table of fixed size, which is all that is broadcast."""
+    place = F.pmod(F.xxhash64(column), F.lit(ID_BITS))
+    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64({column}), {ID_BITS}) % 64 as int))")
+    words = ids.select(F.floor(place / 64).alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    found = rows.withColumn("__word", F.floor(place / 64)).join(F.broadcast(words), "__word")
+    return found.where(F.col("__bits").bitwiseAND(bit) != 0).select(*rows.columns)
+
+
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: tuple[int, int] = (80, 100), block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Near-duplicate classes: (doc_id, n_shingles, component_id, is_representative), one row for each input row.
 
@@ -459,7 +473,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     num, den = threshold
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), plan_bytes(base) // (8 << 20), 8)
+    buckets = bucket_count(base, 8 << 20)
     label = f"jaccard-{uuid.uuid4().hex[:8]}"
     known = base.where("doc_id is not null")
     sets = materialize(base.mapInArrow(_describe(n), "doc_id long, n_shingles long, k1 long, k2 long"), label)
@@ -478,8 +492,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = members.join(weights, "component").select(F.col("id").alias("doc_id"), F.col("component").alias("grp"), F.ceil(F.col("total") / block_tokens).cast("long").alias("blocks"))
     members = members.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
     members = materialize(members, f"{label}-members")
-    texts = known.groupBy("doc_id").agg(F.min("text").alias("text")) if docs.isStreaming else known
-    rows = texts.join(members, "doc_id").select("doc_id", "text", "grp", "block", "blocks").mapInArrow(_tokens(n), "doc_id long, grp long, block long, blocks long, tokens binary")
+    rows = maybe_listed(known, members).join(members, "doc_id").select("doc_id", "text", "grp", "block", "blocks").mapInArrow(_tokens(n), "doc_id long, grp long, block long, blocks long, tokens binary")
     task = F.xxhash64("grp", "block")
     local = materialize(_link(rows.withColumns({"task": task, "side": F.lit(0), "component": F.lit(None).cast("long")}), num, den, buckets), f"{label}-local")
     found = local
