@@ -18,9 +18,9 @@ nodes AS (SELECT DISTINCT graph_id, node FROM seq), edges AS (SELECT DISTINCT gr
 
 
 def graphs(spark, sf):
-    """Nodes and edges of each user's transition graph, over every seventh event (a sampling operator's stride)."""
+    """Nodes and edges of each user's transition graph, over all events."""
     number = F.array_position(F.array(*map(F.lit, TYPES)), F.col("event_type")) - 1
-    seq = read_table(spark, sf, "events").where("event_id % 7 = 0").select(F.col("user_id").alias("graph_id"), "event_id", number.alias("node"))
+    seq = read_table(spark, sf, "events").select(F.col("user_id").alias("graph_id"), "event_id", number.alias("node"))
     nxt = seq.select("graph_id", F.col("node").alias("src"), F.lead("node").over(Window.partitionBy("graph_id").orderBy("event_id")).alias("dst"))
     return seq.select("graph_id", "node").distinct(), nxt.where("dst is not null and src <> dst").distinct()
 
