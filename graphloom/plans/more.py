@@ -44,8 +44,11 @@ def flt14(spark, sf):
 
 @register("FLT19_off_diagonal_pairs", "SELECT o_orderkey AS r, (o_orderkey + 1 + (('0x' || sha256('p:' || o_orderkey)[:8])::BIGINT % 14999)) % 15000 AS c FROM orders WHERE o_orderkey < 15000")
 def flt19(spark, sf):
-    off = 1 + F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit("p"), F.col("o_orderkey").cast("string")), 256), 1, 8), 16, 10).cast("long") % 14999
-    return table(spark, sf, "orders").where("o_orderkey < 15000").select(F.col("o_orderkey").alias("r"), ((F.col("o_orderkey") + off) % 15000).alias("c"))
+    # an n x n matrix, n the number of orders; one row alone has no place off the diagonal
+    orders = table(spark, sf, "orders", "o_orderkey")
+    sized = orders.crossJoin(F.broadcast(orders.agg(F.count(F.lit(1)).alias("n")))).where("n > 1")
+    off = 1 + F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit("p"), F.col("o_orderkey").cast("string")), 256), 1, 8), 16, 10).cast("long") % (F.col("n") - 1)
+    return sized.select(F.col("o_orderkey").alias("r"), ((F.col("o_orderkey") + off) % F.col("n")).alias("c"))
 
 
 @register("JOIN12_one_hop", "SELECT s_suppkey AS id, EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity >= 50) AS yes FROM supplier")
@@ -194,7 +197,7 @@ def grf11(spark, sf):
 
 @register("GRF12_header_nodes", "SELECT DISTINCT o_custkey AS seed_id, 'header:orders' AS dst, o_orderkey AS src FROM orders WHERE o_orderkey < 3000")
 def grf12(spark, sf):
-    return table(spark, sf, "orders").where("o_orderkey < 3000").select(F.col("o_custkey").alias("seed_id"), F.lit("header:orders").alias("dst"), F.col("o_orderkey").alias("src")).distinct()
+    return table(spark, sf, "orders").select(F.col("o_custkey").alias("seed_id"), F.lit("header:orders").alias("dst"), F.col("o_orderkey").alias("src")).distinct()
 
 
 @register("GRF19_oriented", GRAPH_SQL + ", o AS (SELECT graph_id, src, dst, ('0x' || sha256('o:' || graph_id || ':' || src || ':' || dst)[:8])::BIGINT / 4294967296.0::DOUBLE AS u FROM edges WHERE src < dst) SELECT graph_id, src, dst FROM o WHERE u < 0.7 UNION ALL SELECT graph_id, dst, src FROM o WHERE u >= 0.5")

@@ -11,6 +11,7 @@ from .test_oracles import TABLES, plain
 GRAPHS = [(" WHERE event_id % 7 = 0", "")]
 BOUNDS = {n: GRAPHS for n in sorted(registry.oracle_sql()) if "event_id % 7 = 0" in registry.oracle_sql()[n]}
 BOUNDS |= {"JOIN20_pair_bias": [(" WHERE graph_id < 20", "")], "ALG13_structural_mask": [(" WHERE graph_id < 12", "")]}
+BOUNDS |= {"STR06_answer_scores": [(" WHERE o_orderkey < 4000", "")], "GRF12_header_nodes": [(" WHERE o_orderkey < 3000", "")], "SRC13_progress_samples": [(" WHERE event_id < 3000", "")]}
 
 
 def whole(name):
@@ -47,3 +48,13 @@ def test_transition_graphs_by_brute_force(spark, tmp_path):
             want.add((user, last[user], node))
         last[user] = node
     assert {tuple(r) for r in nodes.collect()} == seen and {tuple(r) for r in edges.collect()} == want
+
+
+@pytest.mark.parametrize("n", [7, 16000])
+def test_off_diagonal_pairs_of_any_size(spark, tmp_path, n):
+    import hashlib
+
+    spark.range(n).withColumnRenamed("id", "o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {tuple(r) for r in registry.queries()["FLT19_off_diagonal_pairs"](spark, str(tmp_path)).collect()}
+    assert got == {(k, (k + 1 + int(hashlib.sha256(f"p:{k}".encode()).hexdigest()[:8], 16) % (n - 1)) % n) for k in range(n)}
+    assert all(r != c and 0 <= c < n for r, c in got)
