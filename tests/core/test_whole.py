@@ -12,6 +12,7 @@ GRAPHS = [(" WHERE event_id % 7 = 0", "")]
 BOUNDS = {n: GRAPHS for n in sorted(registry.oracle_sql()) if "event_id % 7 = 0" in registry.oracle_sql()[n]}
 BOUNDS |= {"JOIN20_pair_bias": [(" WHERE graph_id < 20", "")], "ALG13_structural_mask": [(" WHERE graph_id < 12", "")]}
 BOUNDS |= {"STR06_answer_scores": [(" WHERE o_orderkey < 4000", "")], "GRF12_header_nodes": [(" WHERE o_orderkey < 3000", "")], "SRC13_progress_samples": [(" WHERE event_id < 3000", "")]}
+BOUNDS |= {"JOIN17_closure": [(" AND c_custkey < 400", "")]}
 
 
 def whole(name):
@@ -58,3 +59,12 @@ def test_off_diagonal_pairs_of_any_size(spark, tmp_path, n):
     got = {tuple(r) for r in registry.queries()["FLT19_off_diagonal_pairs"](spark, str(tmp_path)).collect()}
     assert got == {(k, (k + 1 + int(hashlib.sha256(f"p:{k}".encode()).hexdigest()[:8], 16) % (n - 1)) % n) for k in range(n)}
     assert all(r != c and 0 <= c < n for r, c in got)
+
+
+def test_closure_of_long_chains(spark, tmp_path):
+    keys = [1]
+    while keys[-1] < 7**8:
+        keys.append(keys[-1] * 7 + 3)
+    spark.createDataFrame([(k,) for k in keys], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {(r.src, r.dst, r.depth) for r in registry.queries()["JOIN17_closure"](spark, str(tmp_path)).collect()}
+    assert got == {(up // 7, k, j - i + 1) for i, up in enumerate(keys) for j, k in enumerate(keys) if i <= j}
