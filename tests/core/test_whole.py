@@ -13,6 +13,12 @@ BOUNDS = {n: GRAPHS for n in sorted(registry.oracle_sql()) if "event_id % 7 = 0"
 BOUNDS |= {"JOIN20_pair_bias": [(" WHERE graph_id < 20", "")], "ALG13_structural_mask": [(" WHERE graph_id < 12", "")]}
 BOUNDS |= {"STR06_answer_scores": [(" WHERE o_orderkey < 4000", "")], "GRF12_header_nodes": [(" WHERE o_orderkey < 3000", "")], "SRC13_progress_samples": [(" WHERE event_id < 3000", "")]}
 BOUNDS |= {"JOIN17_closure": [(" AND c_custkey < 400", "")]}
+BOUNDS |= {
+    "GRF14_contract_links": [(" WHERE l_orderkey % 10 = 3", "")],
+    "STR14_parse_prose": [(" WHERE o_orderkey % 2 = 0", "")],
+    "JOIN23_common_seeds": [(" WHERE arm < 3", ""), ("= 3", "= (SELECT count(DISTINCT arm) FROM runs)")],
+    "AGG47_cost_model": [(" WHERE arm < 6", "")],
+}
 
 
 def whole(name):
@@ -68,3 +74,31 @@ def test_closure_of_long_chains(spark, tmp_path):
     spark.createDataFrame([(k,) for k in keys], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
     got = {(r.src, r.dst, r.depth) for r in registry.queries()["JOIN17_closure"](spark, str(tmp_path)).collect()}
     assert got == {(up // 7, k, j - i + 1) for i, up in enumerate(keys) for j, k in enumerate(keys) if i <= j}
+
+
+def test_runs_of_any_users(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    start, metric = datetime(2024, 1, 1), {4: 1.0, 7: 4.0, 8: 5.5, 40: 2.0, 90: 87.0}
+    days = {4: (0, 1, 2), 7: (0, 2), 8: (2, 3), 40: (1, 2), 90: (2,)}
+    rows = [(u, "view", start + timedelta(days=d), metric[u]) for u in metric for d in days[u]]
+    spark.createDataFrame(rows, "user_id long, event_type string, ts timestamp_ntz, value double").write.parquet(f"{tmp_path}/events.parquet")
+    common = [(r.task, r.seed, r.arms) for r in registry.queries()["JOIN23_common_seeds"](spark, str(tmp_path)).collect()]
+    assert common == [("view", (start - datetime(1970, 1, 1)).days + 2, 5)]
+    cost = {r.arm: (r.predicted, r.error_percent) for r in registry.queries()["AGG47_cost_model"](spark, str(tmp_path)).collect()}
+    assert cost == {8: (5.0, pytest.approx(-100 / 11, abs=1e-6)), 40: (37.0, 1750.0), 90: (87.0, 0.0)}
+
+
+def test_permutation_p_of_all_days(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from graphloom.operators.metrics import permutation_p
+
+    start = datetime(1970, 1, 1) + timedelta(days=19725)  # a multiple of 5, from which on no event falls on another
+    value = {(u, d): float((u * 37 + d * d * 11) % 23 + (u % 2) * 6) for u in (1, 2, 5, 6) for d in range(20) if d % 5}
+    rows = [(u, "view", start + timedelta(days=d), v) for (u, d), v in value.items()]
+    spark.createDataFrame(rows, "user_id long, event_type string, ts timestamp_ntz, value double").write.parquet(f"{tmp_path}/events.parquet")
+    mean = lambda odd, block: sum(x := [v for (u, d), v in value.items() if u % 2 == odd and d // 5 == block]) / len(x)
+    want = permutation_p([mean(1, b) for b in range(4)], [mean(0, b) for b in range(4)])
+    got = registry.queries()["AGG18_permutation_p"](spark, str(tmp_path)).collect()
+    assert [(r.task, r.p) for r in got] == [("view", pytest.approx(want))] and 0 < want < 1
