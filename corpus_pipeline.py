@@ -27,17 +27,29 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return quality_filter(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def _with_row_ids(docs: DataFrame) -> DataFrame:
+    """docs with row_id, unique and not null: the doc_id, or where ids are null or repeat, numbers that rise by doc_id (null
+    last) and then by text."""
+    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").isEmpty():
+        return docs.withColumn("row_id", F.col("doc_id"))
+    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), "text")
+    return materialize(ordered.withColumn("row_id", F.monotonically_increasing_id()), "pipeline-rows")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (5-word shingles, Jaccard 0.8) the document with the smallest id stays."""
-    keep = ngram_jaccard_join(docs, n=5, threshold=(80, 100)).where("is_representative").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """Of each group of near-duplicates (5-word shingles, Jaccard 0.8) the document with the smallest id stays, of those the smallest text.
+    Rows with a null id come last; each row is a document of its own."""
+    rows = _with_row_ids(docs)
+    keep = ngram_jaccard_join(rows, id_col="row_id", n=5, threshold=(80, 100)).where("is_representative").select(F.col("doc_id").alias("kept_id"))
+    return rows.join(keep, F.col("row_id") == F.col("kept_id"), "left_semi").select(*docs.columns)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words and more that occur earlier in the corpus leave the texts; the documents stay."""
-    cut = materialize(substring_dedup(docs, min_words=50).where("n_removed > 0 and doc_id is not null").select(F.col("doc_id").alias("cut_id"), "n_words", "kept_text"), "pipeline-cut")
-    # a text that loses nothing stays as it is; rows that share an id share the shortened text
-    out = docs.join(cut.dropDuplicates(["cut_id"]), F.col("doc_id") == F.col("cut_id"), "left")
+    rows = _with_row_ids(docs)
+    cut = materialize(substring_dedup(rows, id_col="row_id", min_words=50).where("n_removed > 0").select(F.col("doc_id").alias("cut_id"), "n_words", "kept_text"), "pipeline-cut")
+    # a text that loses nothing stays as it is
+    out = rows.join(cut, F.col("row_id") == F.col("cut_id"), "left")
     text = F.coalesce("kept_text", "text")
     return out.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
 

@@ -60,6 +60,25 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(packed["doc_id"]) == set(left) and packed.groupby("sequence_id")["length"].sum().max() <= 2048
 
 
+def test_pipeline_rows_with_null_and_repeated_ids(spark):
+    stage = dict(corpus_pipeline.STAGES)
+    alone, passage = [" ".join(f"w{k}x{i}" for i in range(80)) for k in range(8)], " ".join(f"p{i}" for i in range(60))
+    # a passage in two rows of one id and in null ids; one of two texts of an id has nothing to lose; copies, without an id and under one id
+    rows = [(1, f"{alone[0]} {passage}"), (2, f"{alone[1]} {passage}"), (2, alone[2]), (None, f"{alone[3]} {passage}"), (None, alone[4]), (None, alone[5]), (None, alone[5]), (7, alone[6]), (7, alone[6]), (8, alone[7]), (None, alone[7])]
+    docs = materialize(frame(spark, [(d, t, "en", "s", len(t)) for d, t in rows]), "pipeline-ids")
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    classes = jaccard_classes([(i, t) for i, (_, t) in enumerate(order)], 5, 80, 100)
+    left = [order[i] for i, (_, c) in sorted(classes.items()) if c == i]
+    single = materialize(stage["near_duplicates"](spark, docs, ""), "pipeline-ids-single")
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert single.columns == docs.columns and sorted(((r.doc_id, r.text) for r in single.collect()), key=key) == left and len(left) == 8
+    slim = stage["substring_dedup"](spark, single, "")
+    want = cut(list(enumerate(t for _, t in left)), 50)
+    want = sorted(((d, want[i][0][2] if want[i][0][1] else t) for i, (d, t) in enumerate(left)), key=key)
+    assert slim.columns == docs.columns and sorted(((r.doc_id, r.text) for r in slim.collect()), key=key) == want
+    assert sum(passage in t for _, t in want) == 1
+
+
 def test_pipeline_runs_whole(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 0
