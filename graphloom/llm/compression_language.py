@@ -1,7 +1,7 @@
 """Language identification by compression: the language whose Zstandard dictionary makes a text smallest.
 
-Each language has one raw-content dictionary, made of labelled texts. A text is lower-cased and encoded whole with every one.
-Where the two smallest sizes are too close to tell, the text is rejected.
+Each language has one raw-content dictionary, made of labelled texts. A text is lower-cased and encoded with every one, in
+blocks, each against the fresh dictionary, so that all of a long text counts alike; the sizes of its blocks are summed. Where the two smallest sizes are too close to tell, the text is rejected.
 """
 
 from __future__ import annotations
@@ -13,6 +13,10 @@ from pyspark.sql.window import Window
 from graphloom.llm import kernels as K
 
 
+#: Bytes of a block. All texts of the given tables are shorter.
+BLOCK_BYTES = 1 << 18
+
+
 def normalise(text: str) -> str:
     return text.lower()
 
@@ -57,6 +61,12 @@ def learn_dictionaries(labelled: DataFrame, label_col: str = "lang", text_col: s
     return out
 
 
+def _blocks(data: bytes) -> list[bytes]:
+    """data in parts of about equal size, of BLOCK_BYTES at most."""
+    step = -(-len(data) // -(-len(data) // BLOCK_BYTES))
+    return [data[i : i + step] for i in range(0, len(data), step)]
+
+
 def _judge(texts: list, dictionaries: dict[str, bytes], min_margin: float, level: int) -> list[tuple]:
     """(language, score, margin, rejected) of each text."""
     import regex
@@ -72,7 +82,8 @@ def _judge(texts: list, dictionaries: dict[str, bytes], min_margin: float, level
             rows.append(("und", 0.0, 0.0, True))
             continue
         data = normalise(text).encode()
-        sizes = [len(c(data)) for c in coders]
+        blocks = _blocks(data)
+        sizes = [sum(len(c(block)) for block in blocks) for c in coders]
         best = min(range(len(sizes)), key=sizes.__getitem__)
         second = min((s for i, s in enumerate(sizes) if i != best), default=0)
         margin = 1.0 - sizes[best] / second if second else 1.0

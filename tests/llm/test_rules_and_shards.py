@@ -107,3 +107,17 @@ def test_held_out_accuracy_on_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = L.classify(docs, L.learn_dictionaries(docs.where(~L.held_out(F.col("doc_id"))))).join(docs.select("doc_id", "lang"), "doc_id").where(L.held_out(F.col("doc_id")))
     assert out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.95
+
+
+def test_language_margin_does_not_fall_with_length():
+    import random
+
+    rng = random.Random(5)
+    words = {lang: ["".join(rng.choices(letters, k=rng.randint(3, 9))) for _ in range(3000)] for lang, letters in (("xx", "abdeiklmnorst"), ("yy", "acefghilouvz"))}
+    text = lambda lang, n: " ".join(rng.choices(words[lang], k=n))
+    models = {lang: text(lang, 25000).encode() for lang in words}
+    short, long = text("xx", 30000), text("xx", 900000)
+    (a, _, near, _), (b, _, far, rejected) = L._judge([short, long], models, 0.0005, 6)
+    assert a == b == "xx" and not rejected and far > near / 2
+    # the end of a text has a say: a short head in one language, all the rest in the other
+    assert L._judge([text("yy", 150000) + " " + long], models, 0.0005, 6)[0][0] == "xx"
