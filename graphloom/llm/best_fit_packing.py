@@ -2,8 +2,8 @@
 
 A document longer than a sequence is cut; full pieces are sequences of their own. The others are dealt by hash into groups of
 bounded size, longest first within a group, and each is placed where the sum over residual gaps of the squared number of
-open sequences with that gap becomes smallest; a new sequence begins where no open one has room. A group leaves a handful of open sequences, which is the only cost of
-packing groups apart from one another.
+open sequences with that gap becomes smallest; a new sequence begins where no open one has room. A group leaves a handful
+of open sequences, which is the only cost of packing groups apart from one another.
 """
 
 from __future__ import annotations
@@ -19,42 +19,8 @@ from graphloom.storage import materialize
 
 #: Pieces in one group, on average; each costs a few microseconds and some 100 bytes in the task that packs it.
 GROUP = 1 << 17
-#: Words, and their cores, in each of the two generations that a worker remembers.
-WORDS, CORES = 150_000, 300_000
-#: ASCII punctuation that, at a word's end, tokenizers split off as one piece of its own.
-TAIL = b".,;:!?$*%&#|"
-
-
-class Recent:
-    """Values of recently used keys, in two generations: what is used again while old becomes young."""
-
-    def __init__(self, size: int):
-        self.size, self.young, self.old = size, {}, {}
-
-    def absent(self, keys) -> list:
-        """Keys in neither generation; the others are young from now on."""
-        if len(self.young) > self.size:
-            self.old, self.young = self.young, {}
-        young, old, rest = self.young, self.old, []
-        for key in keys:
-            if key not in young:
-                value = old.get(key)
-                if value is None:
-                    rest.append(key)
-                else:
-                    young[key] = value
-        return rest
-
-
-def split_tail(word: bytes) -> tuple[bytes, bytes]:
-    """(core, tail): the tail is punctuation after a letter or digit, which starts a piece of its own; an ASCII core is
-    lower-cased, as the vocabulary does. Words with '<', where special strings may begin, stay whole."""
-    if b"<" in word:
-        return word, b""
-    core = word.rstrip(TAIL)
-    if len(core) == len(word) or not core or not (core[-1:].isalnum() or core[-1] >= 128 and core.decode()[-1].lower()[-1].isalpha()):
-        core = word
-    return core.lower() if core.isascii() else core, word[len(core) :]
+#: Bytes of text that are encoded at once.
+BLOCK_BYTES = 1 << 21
 
 
 class SumOfSquares:
@@ -88,43 +54,34 @@ class SumOfSquares:
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): each whole text's token ids and end_id, cut at multiples of capacity.
 
-    tokenizer_path names a tokenizers JSON file that executors can read. Its vocabulary folds case and its pre-tokenizer drops
-    white space and parts punctuation from words, so that ids of a text are those of its words' parts: the library encodes
-    each part when a worker meets it. Null and empty texts are end_id alone. Null and repeated ids are kept as they
-    are. ids_crc32 is over little-endian unsigned 32-bit ids.
+    tokenizer_path names a tokenizers JSON file that executors can read; word_bpe says which kind. Null and empty texts are
+    end_id alone. Null and repeated ids are kept as they are, and so are repeated rows; other columns are ignored; an empty
+    table gives an empty result. ids_crc32 is over little-endian unsigned 32-bit ids.
     """
     names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
 
     def run(batches):
         import pyarrow as pa
-        from tokenizers import Tokenizer
 
-        encode = Tokenizer.from_file(tokenizer_path).encode_batch_fast
-        known, cores = Recent(WORDS), Recent(CORES)
-        tail = np.array([end_id], "<u4").tobytes()
+        from graphloom.llm import word_bpe
+
+        coder = word_bpe.load(tokenizer_path)
         for batch in batches:
-            docs, texts = batch.column(0).to_pylist(), K.as_bytes(batch.column(1))
-            for a, b in K.blocks([len(t) for t in texts], 1 << 21):
-                words = [t.split() for t in texts[a:b]]
-                parts = {w: split_tail(w) for w in known.absent(set().union(*words))}
-                missing = cores.absent({p for pair in parts.values() for p in pair})
-                for i in range(0, len(missing), 10_000):
-                    some = missing[i : i + 10_000]
-                    for core, code in zip(some, encode([w.decode() for w in some], add_special_tokens=False), strict=True):
-                        cores.young[core] = np.array(code.ids, "<u4").tobytes()
-                for word, (core, end) in parts.items():
-                    known.young[word] = cores.young[core] + cores.young[end]
-                rows = []
-                for doc, own in zip(docs[a:b], words, strict=True):
-                    data = b"".join(map(known.young.__getitem__, own)) + tail
-                    for piece, start in enumerate(range(0, len(data), 4 * capacity)):
-                        ids = data[start : start + 4 * capacity]
-                        rows.append((doc, piece, start // 4, len(ids) // 4, zlib.crc32(ids), np.frombuffer(ids, "<u4").astype(np.int64) if with_ids else None))
-                columns = list(zip(*rows, strict=True))
-                arrays = [pa.array(c, pa.int64()) for c in columns[:5]]
-                arrays[1] = arrays[1].cast(pa.int32())
+            for a, b, texts in K.text_blocks(batch.column(1), BLOCK_BYTES):
+                ids, bounds = coder.encode(texts, end_id)
+                ids = ids.astype("<u4")
+                sizes = np.diff(bounds)
+                pieces = -(-sizes // capacity)
+                own = np.repeat(np.arange(b - a), pieces)
+                number = np.arange(len(own)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = number * capacity
+                length = np.minimum(sizes[own] - start, capacity)
+                first = bounds[own] + start
+                data = memoryview(ids.tobytes())
+                sums = [zlib.crc32(data[4 * x : 4 * y]) for x, y in zip(first.tolist(), (first + length).tolist(), strict=True)]
+                arrays = [batch.column(0).slice(a, b - a).take(pa.array(own)), pa.array(number.astype(np.int32)), pa.array(start), pa.array(length), pa.array(sums, pa.int64())]
                 if with_ids:
-                    arrays.append(pa.array(columns[5], pa.list_(pa.int64())))
+                    arrays.append(pa.ListArray.from_arrays(pa.array(np.append(first, len(ids)).astype(np.int32)), pa.array(ids.astype(np.int64))))
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -163,7 +120,8 @@ def sum_of_squares_packing(pieces: DataFrame, capacity: int = 2048, group: int =
     small = pieces.where(F.col("length") < capacity)
     groups = max(1, -(-small.count() // group))
     tasks = max(groups, int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = small.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    # the row's place in the staged table keeps equal rows apart
+    dealt = small.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
     dealt = dealt.select("grp", "length", "doc_id", "piece", "start", "ids_crc32").repartition(tasks, "grp").sortWithinPartitions("grp", F.desc("length"), "doc_id", "piece", "ids_crc32")
     packed = dealt.mapInArrow(_pack(capacity), "length long, doc_id long, piece int, start long, ids_crc32 long, sequence_id long, offset long")
     full = pieces.where(F.col("length") >= capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
