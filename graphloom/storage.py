@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def stage_root(spark: SparkSession) -> str:
@@ -49,3 +50,22 @@ def bucket_count(df: DataFrame, bytes_each: int, least: int = 8) -> int:
     tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), least)
     size = plan_bytes(df)
     return min(max(size // bytes_each, tasks), 64 * tasks) if size < 1 << 50 else 4 * tasks
+
+
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that df does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
+def with_row_id(df: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """df with a column name, unique and not null, that rises by id (null last) and then by text: the id itself where ids are
+    unique. Only where some are null or repeat is the table sorted and staged; equal rows are told apart by place, so that
+    the sort can split them."""
+    ids = F.col(id_col).cast("long")
+    if df.groupBy(ids.alias("i")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 or i is null").isEmpty():
+        return df.withColumn(name, ids)
+    ordered = df.withColumn(name, F.monotonically_increasing_id()).orderBy(ids.asc_nulls_last(), F.col(text_col), name)
+    return materialize(ordered.withColumn(name, F.monotonically_increasing_id()), "row-ids")
