@@ -14,7 +14,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         near = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     low = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    moved = near.join(low, "u")
+    # joined on an expression, so that both sides are shuffled for the join and the rows of a hub can be split between tasks
+    key = F.col("u").bitwiseXOR(F.lit(-1)).alias("key")
+    moved = near.withColumn("key", key).join(low.select(key, "m"), "key").drop("key")
     out = moved.where("v > u") if large else moved.where("v <> m")
     out = out.select(F.col("v").alias("a"), F.col("m").alias("b"))
     if not large:

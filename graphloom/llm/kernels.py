@@ -1,26 +1,30 @@
 """Vectorised byte kernels shared by the word and window operators.
 
 Texts are handled as UTF-8 bytes. A word is a maximal run of bytes outside 0x20 and 0x09-0x0D; since those are ASCII,
-splitting bytes equals splitting code points. Every word and n-gram is named by a 64-bit hash: equal sequences always
-have equal hashes, and different ones collide with probability about 2**-64 for each compared pair.
+splitting bytes equals splitting code points. Every word and n-gram is named by a 64-bit hash under a key that is drawn
+anew for each run (fresh_key): equal sequences always have equal hashes, and since the key is not known beforehand, no text can be
+written whose words collide. Words are hashed eight bytes at a time, with a mixing step between, so that no pattern of
+bytes cancels. Where one collision would change a result, operators use two such hashes, or compare further.
 """
 
 from __future__ import annotations
 
+import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
 
 U = np.uint64
-#: Bytes handled at once; a longer word or text only lengthens the segment that holds it.
-SEGMENT = 1 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_VALUES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**64 - 1, 256, dtype=np.uint64)
-_FOLDED = _VALUES.copy()
-_FOLDED[65:91] = _VALUES[97:123]
-_powers = [np.ones(1, U), np.ones(1, U)]
+
+
+def fresh_key() -> int:
+    """A key for one run; the driver draws it, and all tasks of the run get it with their code."""
+    return secrets.randbits(64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,39 +34,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(n, base, U)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0][:n], _powers[1][:n]
-
-
 def word_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end offsets of the words of a byte array."""
     edge = np.diff(np.concatenate(([True], _SPACE[buf], [True])).astype(np.int8))
     return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
 
 
-def hash_words(texts: list[bytes], fold_case: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def hash_words(texts: list[bytes], key: int, fold_case: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts in order, and offsets: text i has words offsets[i]:offsets[i + 1]."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8) if texts else np.zeros(0, np.uint8)
-    starts, ends = word_spans(buf)
+    buf = np.frombuffer(b"\n".join(texts) + b"\n" + bytes(LONG_WORD), np.uint8) if texts else np.zeros(0, np.uint8)
+    starts, ends = word_spans(buf[: len(buf) - LONG_WORD] if texts else buf)
     offsets = np.searchsorted(starts, np.concatenate(([0], np.cumsum(lengths))))
-    values = _FOLDED if fold_case else _VALUES
-    out = np.empty(len(starts), U)
-    a = 0
-    while a < len(starts):
-        b = max(a + 1, int(np.searchsorted(ends, starts[a] + SEGMENT, "right")))
-        lo, hi = int(starts[a]), int(ends[b - 1])
-        up, down = _power_tables(hi - lo)
-        sums = np.zeros(hi - lo + 1, U)
-        np.cumsum(values[buf[lo:hi]] * up, out=sums[1:])
-        s, e = starts[a:b] - lo, ends[a:b] - lo
-        out[a:b] = mix((sums[e] - sums[s]) * down[s])
-        a = b
+    if fold_case:
+        buf = buf + ((buf >= 65) & (buf <= 90)).view(np.uint8) * np.uint8(32)
+    sizes = ends - starts
+    out = mix(sizes.astype(U) * U(0x9E3779B97F4A7C15) + U(key))
+    if len(starts):
+        eight = np.ndarray((len(buf) - 7,), "<u8", np.ascontiguousarray(buf), 0, (1,))
+        todo = np.arange(len(starts)) if sizes.max() <= LONG_WORD else np.flatnonzero(sizes <= LONG_WORD)
+        for skip in range(0, LONG_WORD, 8):
+            todo = todo[sizes[todo] > skip] if skip else todo
+            if not len(todo):
+                break
+            left = np.minimum(sizes[todo] - skip, 8).astype(U)
+            out[todo] = mix(out[todo] ^ (eight[starts[todo] + skip] & (U(2**64 - 1) >> (U(64) - U(8) * left))))
+    for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+        word = buf[starts[i] : ends[i]].tobytes()
+        out[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=key.to_bytes(8, "little")).digest(), "little")
     return out, offsets
 
 

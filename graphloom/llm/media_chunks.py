@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import kernels as K
-from graphloom.llm.substring_dedup import by_bucket, pack_documents
+from graphloom.llm.substring_dedup import by_bucket, pack_documents, unpack_documents
 from graphloom.storage import bucket_count, fresh_path
 
 MAGIC = b"SMP8"
@@ -92,12 +92,9 @@ def _store():
     import pyarrow as pa
     import zstandard
 
-    def work(bucket, answers, docs):
+    def work(bucket, answers, packs):
         squeeze = zstandard.ZstdCompressor(level=6).compress
-        owner = {}
-        for a in answers:
-            owner[a[:16]] = int.from_bytes(a[16:], "big")
-        ids, void, texts = docs
+        owner = {a[:16]: int.from_bytes(a[16:], "big") for a in answers}
         rows, told = [], set()
         pending: dict[str, list] = {"whole": [], "partial": []}
         bodies: dict[str, dict] = {"whole": {}, "partial": {}}
@@ -110,25 +107,28 @@ def _store():
                 pending[kind], bodies[kind] = [], {}
 
         weight = 0
-        for doc, empty, text in zip(ids.tolist(), void.tolist(), texts, strict=True):
-            data, parts, digests = _chunks(text)
-            kind = "partial" if any(d in owner for d in digests) else "whole"
-            pending[kind].append(struct.pack("<q?16sI", doc, empty, hashlib.sha256(data).digest()[:16], len(digests)) + b"".join(digests))
-            for digest, part in zip(digests, parts, strict=True):
-                if digest in owner:
-                    if owner[digest] == bucket and digest not in told:
-                        told.add(digest)
-                        rows.append(("shared", bucket, digest + squeeze(part)))
-                elif digest not in bodies[kind]:
-                    bodies[kind][digest] = part
-                    weight += len(part)
-            if weight > 4 << 20:
-                close("whole")
-                close("partial")
-                weight = 0
-            if len(rows) > 64:
-                yield batch_of(rows)
-                rows.clear()
+        for pack in packs:  # one at a time: a bucket of any size passes in bounded memory
+            _, ids, void, texts = unpack_documents(pack)
+            for doc, empty, text in zip(ids.tolist(), void.tolist(), texts, strict=True):
+                data, parts, digests = _chunks(text)
+                kind = "partial" if any(d in owner for d in digests) else "whole"
+                pending[kind].append(struct.pack("<q?16sI", doc, empty, hashlib.sha256(data).digest()[:16], len(digests)) + b"".join(digests))
+                weight += 29 + 16 * len(digests)
+                for digest, part in zip(digests, parts, strict=True):
+                    if digest in owner:
+                        if owner[digest] == bucket and digest not in told:
+                            told.add(digest)
+                            rows.append(("shared", bucket, digest + squeeze(part)))
+                    elif digest not in bodies[kind]:
+                        bodies[kind][digest] = part
+                        weight += len(part)
+                if weight > 4 << 20:
+                    close("whole")
+                    close("partial")
+                    weight = 0
+                if len(rows) > 64:
+                    yield batch_of(rows)
+                    rows.clear()
         close("whole")
         close("partial")
         yield batch_of(rows)
@@ -226,13 +226,14 @@ def _read_partial(batches):
 def store_media(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write all texts as media objects into a chunk store at folder; returns (bucket, digest, owner) of shared chunks.
 
-    Null texts are empty ones. Null and repeated ids are stored like any other row. Other columns are ignored.
+    Null texts are empty ones. Null and repeated ids are stored like any other row; rows are dealt by id and text, so that
+    ids that are null or repeat don't gather in one bucket. Other columns are ignored.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = bucket_count(base, BUCKET_BYTES)
-    placed = base.select(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket"), "doc_id", "text")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 8)
+    placed = base.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).alias("bucket"), F.lit(0).cast("long").alias("row_id"), "doc_id", "text")
     refs = placed.select("bucket", "text").mapInArrow(_references, "bucket long, digest binary").distinct()
     owners = refs.groupBy("digest").agg(F.min("bucket").alias("owner"), F.max("bucket").alias("last")).where("owner <> last").drop("last")
     shared = refs.join(owners, "digest")

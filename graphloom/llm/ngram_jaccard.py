@@ -1,6 +1,6 @@
 """N-gram Jaccard join: near-duplicate documents by prefix trees over globally ordered n-gram sets.
 
-1. Every text becomes its set of distinct n-word shingles, in one global order (by hash value).
+1. Every text becomes its set of distinct n-word shingles, in one global order (by hash value, under a key drawn for the run).
 2. Pigeonhole signatures find candidates without missing any: for set sizes near each other, the universe is cut into
    more parts than two linked sets can differ in, so linked sets agree on a whole non-empty part. Documents that
    share a part's signature are joined to the smallest of them: a star, never all pairs. Very frequent shingles (a bounded
@@ -34,9 +34,9 @@ BLOCK_TOKENS = 1 << 20
 HOT_TOKENS, HOT_TIMES = 1 << 18, 8
 
 
-def shingle_sets(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: list[bytes], n: int, key: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text, end to end, and offsets; fewer than n words make one shingle."""
-    words, offsets = K.hash_words(texts, fold_case=True)
+    words, offsets = K.hash_words(texts, key, fold_case=True)
     grams = K.gram_hashes(words, n)
     counts = np.diff(offsets)
     sizes = np.maximum(counts - n + 1, 0)
@@ -142,33 +142,32 @@ def _keys(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _texts(batch) -> Iterator[tuple[np.ndarray, list[bytes]]]:
-    ids, texts = batch.column(0).to_numpy(zero_copy_only=False), K.as_bytes(batch.column(1))
-    for a, b in K.blocks([len(t) for t in texts], CHUNK):
-        yield ids[a:b], texts[a:b]
+    ids = batch.column(0).to_numpy(zero_copy_only=False)
+    for a, b, texts in K.text_blocks(batch.column(1), CHUNK):
+        yield ids[a:b], texts
 
 
-def _describe(n: int):
+def _describe(n: int, key: int):
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            texts = K.as_bytes(batch.column(1))
-            for a, b in K.blocks([len(t) for t in texts], CHUNK):
-                sets, bounds = shingle_sets(texts[a:b], n)
-                keys = _keys(sets, bounds)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(bounds)), pa.array(keys[:, 0]), pa.array(keys[:, 1])], ["doc_id", "n_shingles", "k1", "k2"])
+            for a, b, texts in K.text_blocks(batch.column(1), CHUNK):
+                sets, bounds = shingle_sets(texts, n, key)
+                names = _keys(sets, bounds)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(bounds)), pa.array(names[:, 0]), pa.array(names[:, 1])], ["doc_id", "n_shingles", "k1", "k2"])
 
     return run
 
 
-def _small_parts(n: int, num: int, den: int):
+def _small_parts(n: int, num: int, den: int, key: int):
     def run(batches):
         import pyarrow as pa
 
         scheme = Partitions(num, den)
         for batch in batches:
             for _, texts in _texts(batch):
-                tokens, counts = np.unique(scheme.small_parts(*shingle_sets(texts, n)), return_counts=True)
+                tokens, counts = np.unique(scheme.small_parts(*shingle_sets(texts, n, key)), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(counts)], ["token", "times"])
 
     return run
@@ -180,7 +179,7 @@ def _edge_batch(a: np.ndarray, b: np.ndarray):
     return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], ["a", "b"])
 
 
-def _sign(n: int, num: int, den: int, buckets: int, hot: np.ndarray):
+def _sign(n: int, num: int, den: int, buckets: int, hot: np.ndarray, key: int):
     """Signatures by bucket; within a chunk, sharers are joined to their smallest document at once (bucket -1 rows)."""
 
     def run(batches):
@@ -192,10 +191,10 @@ def _sign(n: int, num: int, den: int, buckets: int, hot: np.ndarray):
             for ids, texts in _texts(batch):
                 order = np.argsort(ids, kind="stable")
                 ids, texts = ids[order], [texts[i] for i in order]
-                sets, bounds = shingle_sets(texts, n)
-                keys = _keys(sets, bounds)
+                sets, bounds = shingle_sets(texts, n, key)
+                names = _keys(sets, bounds)
                 fresh = np.zeros(len(ids), bool)
-                fresh[np.unique(keys, axis=0, return_index=True)[1]] = True
+                fresh[np.unique(names, axis=0, return_index=True)[1]] = True
                 keep = fresh & (np.diff(bounds) > 0)
                 sets = sets[np.repeat(keep, np.diff(bounds))]
                 bounds = np.concatenate(([0], np.cumsum(np.diff(bounds)[keep])))
@@ -432,15 +431,14 @@ def _link(rows: DataFrame, num: int, den: int, tasks: int) -> DataFrame:
     return rows.repartition(tasks, "task").sortWithinPartitions("task", "side", F.length("tokens"), "doc_id").mapInArrow(_linker(num, den), "a long, b long")
 
 
-def _tokens(n: int):
+def _tokens(n: int, key: int):
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             rest = [batch.column(i) for i in range(2, batch.num_columns)]
-            texts = K.as_bytes(batch.column(1))
-            for a, b in K.blocks([len(t) for t in texts], CHUNK):
-                sets, bounds = shingle_sets(texts[a:b], n)
+            for a, b, texts in K.text_blocks(batch.column(1), CHUNK):
+                sets, bounds = shingle_sets(texts, n, key)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(c.slice(a, b - a) for c in rest), pa.array([sets[x:y].tobytes() for x, y in zip(bounds, bounds[1:], strict=False)], pa.binary())], ["doc_id", "grp", "block", "blocks", "tokens"])
 
     return run
@@ -471,17 +469,17 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     whatever their names, are ignored. An empty table gives an empty result.
     """
     num, den = threshold
-    spark = docs.sparkSession
+    spark, key = docs.sparkSession, K.fresh_key()
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     buckets = bucket_count(base, 8 << 20)
     label = f"jaccard-{uuid.uuid4().hex[:8]}"
     known = base.where("doc_id is not null")
-    sets = materialize(base.mapInArrow(_describe(n), "doc_id long, n_shingles long, k1 long, k2 long"), label)
+    sets = materialize(base.mapInArrow(_describe(n, key), "doc_id long, n_shingles long, k1 long, k2 long"), label)
     firsts = sets.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
-    small = known.mapInArrow(_small_parts(n, num, den), "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
+    small = known.mapInArrow(_small_parts(n, num, den, key), "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
     small = small.where(F.col("times") >= HOT_TIMES).orderBy(F.desc("times"), "token").limit(HOT_TOKENS)
     hot = np.sort(small.select("token").toPandas()["token"].to_numpy(np.int64).view(U))
-    signed = known.mapInArrow(_sign(n, num, den, buckets, hot), "bucket int, payload binary")
+    signed = known.mapInArrow(_sign(n, num, den, buckets, hot, key), "bucket int, payload binary")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = signed.repartition(buckets, F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.xxhash64("payload"))).mapInArrow(_stars(tasks), "part int, payload binary")
     stars = met.repartition(tasks, "part").mapInArrow(_merge, "a long, b long")
@@ -492,7 +490,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = members.join(weights, "component").select(F.col("id").alias("doc_id"), F.col("component").alias("grp"), F.ceil(F.col("total") / block_tokens).cast("long").alias("blocks"))
     members = members.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
     members = materialize(members, f"{label}-members")
-    rows = maybe_listed(known, members).join(members, "doc_id").select("doc_id", "text", "grp", "block", "blocks").mapInArrow(_tokens(n), "doc_id long, grp long, block long, blocks long, tokens binary")
+    rows = maybe_listed(known, members).join(members, "doc_id").select("doc_id", "text", "grp", "block", "blocks").mapInArrow(_tokens(n, key), "doc_id long, grp long, block long, blocks long, tokens binary")
     task = F.xxhash64("grp", "block")
     local = materialize(_link(rows.withColumns({"task": task, "side": F.lit(0), "component": F.lit(None).cast("long")}), num, den, buckets), f"{label}-local")
     found = local

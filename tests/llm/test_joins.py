@@ -103,3 +103,42 @@ def test_substring_empty_table_and_long_word(spark):
     long = "x" * 3_000_000
     out = S.substring_dedup(frame(spark, [(1, long, None, None, None), (2, f"{long} y", None, None, None)]), min_words=2).collect()
     assert sorted((r.doc_id, r.n_words, r.n_removed) for r in out) == [(1, 1, 0), (2, 2, 0)]
+
+
+def two_alike(size=2048):
+    """Two words that polynomial hashes modulo a power of two cannot tell apart (the Thue-Morse word and its complement)."""
+    bits = [0]
+    while len(bits) < size:
+        bits += [1 - b for b in bits]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_alike_to_polynomials_stay_apart(spark):
+    one, other = two_alike()
+    same = " ".join(f"w{i}" for i in range(19))
+    out = S.substring_dedup(frame(spark, [(1, f"{same} {one}", None, None, None), (2, f"{same} {other}", None, None, None)]), min_words=20).collect()
+    assert {r.doc_id: r.n_removed for r in out} == {1: 0, 2: 0}
+    out = J.ngram_jaccard_join(frame(spark, [(1, f"{one} x y z", None, None, None), (2, f"{other} x y z", None, None, None)]), n=4, threshold=(85, 100)).collect()
+    assert {r.doc_id: r.component_id for r in out} == {1: 1, 2: 2}
+
+
+def test_word_hashes_depend_on_the_key_and_every_byte():
+    words = ["a", "b", "ab", "ba", "a" * 8, "a" * 9, "a" * 16, "a" * 17, "a" * 64, "a" * 65, "é", *two_alike(64), *two_alike(1024)]
+    (one, _), (two, _) = (S.K.hash_words([" ".join(words).encode()], key) for key in (1, 2))
+    assert len(set(one.tolist())) == len(words) and not set(one.tolist()) & set(two.tolist())
+    split, offsets = S.K.hash_words([w.encode() for w in ["", *words, ""]], 1)
+    assert split.tolist() == one.tolist() and offsets.tolist() == [0, 0, *range(1, len(words) + 1), len(words)]
+
+
+def test_find_pairs():
+    names, checks = np.array([3, 5, 5, 9], np.uint64), np.array([1, 2, 7, 0], np.uint64)
+    got = S.find_pairs(np.array([5, 5, 5, 9, 10, 3], np.uint64), np.array([7, 2, 3, 0, 0, 2], np.uint64), names, checks)
+    assert got.tolist() == [2, 1, -1, 3, -1, -1]
+
+
+def test_substring_row_ids_where_ids_repeat(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(None, text), (None, text), (None, "other"), (4, text), (4, "a b"), (4, text)]
+    out = sorted(S.substring_dedup(frame(spark, [(d, t, None, None, None) for d, t in rows]), min_words=10).collect(), key=lambda r: r.row_id)
+    assert [(r.doc_id, r.n_words, r.n_removed) for r in out] == [(4, 2, 0), (4, 30, 0), (4, 30, 30), (None, 1, 0), (None, 30, 30), (None, 30, 30)]
+    assert len({r.row_id for r in out}) == 6 and {s["source"] for r in out for s in r.repeats} == {out[1].row_id}
