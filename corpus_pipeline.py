@@ -14,48 +14,65 @@ from graphloom.llm.compression_language import keep_identified, learn_dictionari
 from graphloom.llm.ngram_jaccard import ngram_jaccard_join
 from graphloom.llm.quality_rules import quality_filter
 from graphloom.llm.substring_dedup import substring_dedup
-from graphloom.storage import materialize, read_table
+from graphloom.storage import free_name, materialize, read_table, with_row_id
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language compression cannot tell, or that have no letter, go."""
+    """Documents whose language compression cannot tell, or that have no letter, go.
+
+    Null and empty texts go. Each row is judged by its own text, so null and repeated ids, repeated rows and ties of any
+    kind change nothing. Extra columns stay, whatever their names. An empty table gives an empty one.
+    """
     return keep_identified(docs, learn_dictionaries(docs))
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines leave the texts; documents that fail the base rules or are depleted go."""
-    return quality_filter(docs).withColumn("n_chars", F.length("text").cast("long"))
-
+    """Boilerplate lines leave the texts; documents that fail the base rules or are depleted go.
 
-def _with_row_ids(docs: DataFrame) -> DataFrame:
-    """docs with row_id, unique and not null: the doc_id, or where ids are null or repeat, numbers that rise by doc_id (null
-    last) and then by text."""
-    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").isEmpty():
-        return docs.withColumn("row_id", F.col("doc_id"))
-    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), "text")
-    return materialize(ordered.withColumn("row_id", F.monotonically_increasing_id()), "pipeline-rows")
+    Null and empty texts go. A null source is a host of its own. Rows are judged by text and host, so null and repeated ids
+    and repeated rows keep a row each. Extra columns stay, whatever their names; n_chars is the new length. An empty
+    table gives an empty one.
+    """
+    return quality_filter(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (5-word shingles, Jaccard 0.8) the document with the smallest id stays, of those the smallest text.
-    Rows with a null id come last; each row is a document of its own."""
-    rows = _with_row_ids(docs)
-    keep = ngram_jaccard_join(rows, id_col="row_id", n=5, threshold=(80, 100)).where("is_representative").select(F.col("doc_id").alias("kept_id"))
-    return rows.join(keep, F.col("row_id") == F.col("kept_id"), "left_semi").select(*docs.columns)
+    """Of each group of near-duplicates (5-word shingles, Jaccard 0.8) the document with the smallest id stays.
+
+    Each row is a document of its own: where ids are null or repeat, null ones come last and ties go to the smallest text;
+    of wholly equal rows one stays. Null and empty texts are like nothing and stay. Extra columns stay, whatever their
+    names. An empty table gives an empty one.
+    """
+    row, kept = free_name(docs, "row_id"), free_name(docs, "kept_row")
+    rows = with_row_id(docs, row)
+    found = ngram_jaccard_join(rows, id_col=row, n=5, threshold=(80, 100)).where("is_representative")
+    keep = found.select(F.col("doc_id").alias(kept))
+    return rows.join(keep, F.col(row) == F.col(kept), "left_semi").select(*docs.columns)
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words and more that occur earlier in the corpus leave the texts; the documents stay."""
-    rows = _with_row_ids(docs)
-    cut = materialize(substring_dedup(rows, id_col="row_id", min_words=50).where("n_removed > 0").select(F.col("doc_id").alias("cut_id"), "n_words", "kept_text"), "pipeline-cut")
-    # a text that loses nothing stays as it is
-    out = rows.join(cut, F.col("row_id") == F.col("cut_id"), "left")
-    text = F.coalesce("kept_text", "text")
-    return out.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
+    """Passages of 50 words and more that occur earlier in the corpus leave the texts; the documents stay.
+
+    Earlier is by id; where ids are null or repeat, null ones come last and ties go by text, and each row has its own cut. A
+    text that loses nothing stays as it is, null and empty ones included. Extra columns stay, whatever their names; n_chars
+    is the new length where a text changes. An empty table gives an empty one.
+    """
+    row, kept_row, kept_text = (free_name(docs, n) for n in ("row_id", "kept_row", "kept_text"))
+    rows = with_row_id(docs, row)
+    cut = substring_dedup(rows, id_col=row, min_words=50).where("n_removed > 0")
+    cut = materialize(cut.select(F.col("doc_id").alias(kept_row), F.col("kept_text").alias(kept_text)), "pipeline-cut")
+    out = rows.join(cut, F.col(row) == F.col(kept_row), "left")
+    changed = F.col(kept_row).isNotNull()
+    new = {"text": F.col(kept_text), "n_chars": F.length(kept_text).cast("long")}
+    return out.select(*(F.when(changed, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces placed in sequences of 2048 tokens."""
+    """Token pieces placed in sequences of 2048 tokens.
+
+    Null and empty texts are one end token each. Every row is packed, null and repeated ids and repeated rows included. Other
+    columns are ignored. An empty table gives an empty result.
+    """
     import public_tokenizers
 
     return sum_of_squares_packing(token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False))
