@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.storage import materialize
+from graphloom.storage import free_name, materialize
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -104,11 +104,12 @@ def without_lines(text: Column, removed_marks: Column) -> Column:
 
 def quality_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
     """docs, all columns as they are but for texts, which lose their boilerplate lines, without the rows that
-    quality_rules() rejects. A verdict depends on text and host alone; rows find theirs by id, text and host."""
+    quality_rules() rejects. A verdict depends on text and host alone; rows find theirs by id, text and host. Null and repeated
+    ids keep a row each; extra columns stay, whatever their names; an empty table gives an empty one."""
     limits = {"min_words": 50, "max_repeat_percent": 50, "min_docs": 20, "max_share": 0.05, "max_depletion": 0.5} | limits
     found = _verdicts(_measured(docs, id_col, text_col, host_col), **limits).where("kept")
-    spread = F.coalesce(F.xxhash64("doc_id"), F.lit(0))
-    found = found.select(spread.alias("__id"), F.col("content").alias("__content"), F.col("host").alias("__host"), "removed_marks").withColumnRenamed("removed_marks", "__marks").dropDuplicates(["__id", "__content", "__host"])
-    keyed = docs.withColumns({"__id": F.coalesce(F.xxhash64(id_col), F.lit(0)), "__content": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), "__host": _host(host_col)})
-    out = keyed.join(found, ["__id", "__content", "__host"])
-    return out.withColumn(text_col, without_lines(F.col(text_col), F.col("__marks"))).select(*docs.columns)
+    names = [free_name(docs, n) for n in ("key_id", "key_content", "key_host", "key_marks")]
+    found = found.select(F.coalesce(F.xxhash64("doc_id"), F.lit(0)), "content", "host", "removed_marks").toDF(*names).dropDuplicates(names[:3])
+    keys = (F.coalesce(F.xxhash64(id_col), F.lit(0)), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), _host(host_col))
+    out = docs.withColumns(dict(zip(names, keys, strict=False))).join(found, names[:3])
+    return out.withColumn(text_col, without_lines(F.col(text_col), F.col(names[3]))).select(*docs.columns)

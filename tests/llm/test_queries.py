@@ -79,6 +79,40 @@ def test_pipeline_rows_with_null_and_repeated_ids(spark):
     assert sum(passage in t for _, t in want) == 1
 
 
+CLASHES = ("row_id", "kept_id", "kept_text", "kept_row", "cut_id", "key_id", "key_marks", "removed_marks", "host", "content", "bucket", "component_id", "is_representative")
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES[:-1]])
+def test_pipeline_stages_keep_extra_columns(spark, name):
+    rows = corpus(n=40)
+    docs = frame(spark, rows).withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in CLASHES})
+    out = dict(corpus_pipeline.STAGES)[name](spark, docs, "")
+    assert out.columns == docs.columns
+    found = out.collect()
+    assert found and all(r[c] == f"{c}{r.doc_id}" for r in found for c in CLASHES)
+    plain = dict(corpus_pipeline.STAGES)[name](spark, docs.drop(*CLASHES), "")
+    same = lambda got: sorted((r.doc_id, r.text or "", r.n_chars or 0) for r in got)
+    assert same(found) == same(plain.collect())
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_pipeline_stages_of_an_empty_table(spark, name):
+    docs = frame(spark).where("false")
+    out = dict(corpus_pipeline.STAGES)[name](spark, docs, "")
+    assert out.collect() == [] and (name == "best_fit_packing" or out.columns == docs.columns)
+
+
+def test_pipeline_stages_of_null_and_empty_texts(spark):
+    docs = frame(spark, [r for r in corpus(n=0)])  # null, empty, blank, and two short texts
+    stage = dict(corpus_pipeline.STAGES)
+    assert stage["language_id"](spark, docs, "").where("doc_id < 3").collect() == []
+    assert stage["quality_rules"](spark, docs, "").collect() == []
+    assert {r.doc_id for r in stage["near_duplicates"](spark, docs, "").collect()} == {0, 1, 2, 3}
+    slim = stage["substring_dedup"](spark, docs, "").collect()
+    assert {(r.doc_id, r.text, r.n_chars) for r in slim} == {(r[0], r[1], r[4]) for r in corpus(n=0)}
+    assert stage["best_fit_packing"](spark, docs, "").count() == 5
+
+
 def test_pipeline_runs_whole(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 0
