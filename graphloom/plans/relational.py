@@ -141,7 +141,7 @@ def top04(spark, sf):
 
 
 #: Bipartite sample graphs: of each order, its parts through lineitem as link rows.
-LINK_SQL = """WITH pairs AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey % 10 = 3),
+LINK_SQL = """WITH pairs AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem),
 links AS (SELECT l_orderkey AS graph_id, l_partkey AS part, 1000000000 + l_partkey AS link FROM pairs)"""
 
 

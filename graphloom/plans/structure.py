@@ -12,7 +12,7 @@ from graphloom.storage import read_table
 #: Event types by number, in name order.
 TYPES = ("click", "error", "purchase", "signup", "view")
 NUM_SQL = "CASE event_type " + " ".join(f"WHEN '{t}' THEN {i}" for i, t in enumerate(TYPES)) + " END"
-GRAPH_SQL = f"""WITH RECURSIVE seq AS (SELECT user_id AS graph_id, event_id, ({NUM_SQL})::BIGINT AS node FROM events WHERE event_id % 7 = 0),
+GRAPH_SQL = f"""WITH RECURSIVE seq AS (SELECT user_id AS graph_id, event_id, ({NUM_SQL})::BIGINT AS node FROM events),
 nxt AS (SELECT graph_id, node AS src, lead(node) OVER (PARTITION BY graph_id ORDER BY event_id) AS dst FROM seq),
 nodes AS (SELECT DISTINCT graph_id, node FROM seq), edges AS (SELECT DISTINCT graph_id, src, dst FROM nxt WHERE dst IS NOT NULL AND src <> dst)"""
 

@@ -1,45 +1,9 @@
-"""Queries over whole tables: the registered SQL without its row bounds, where it has any, and small cases by brute force."""
+"""Queries over whole tables: cases by brute force beside the comparison with SQL."""
 
-import duckdb
 import pytest
 
 from graphloom.plans import registry
 
-from .test_oracles import TABLES, plain
-
-#: By query: what to take out of its SQL (old, new), for the answer over all rows. The SQL itself stays as it is given.
-GRAPHS = [(" WHERE event_id % 7 = 0", "")]
-BOUNDS = {n: GRAPHS for n in sorted(registry.oracle_sql()) if "event_id % 7 = 0" in registry.oracle_sql()[n]}
-BOUNDS |= {"JOIN20_pair_bias": [(" WHERE graph_id < 20", "")], "ALG13_structural_mask": [(" WHERE graph_id < 12", "")]}
-BOUNDS |= {"STR06_answer_scores": [(" WHERE o_orderkey < 4000", "")], "GRF12_header_nodes": [(" WHERE o_orderkey < 3000", "")], "SRC13_progress_samples": [(" WHERE event_id < 3000", "")]}
-BOUNDS |= {"JOIN17_closure": [(" AND c_custkey < 400", "")]}
-BOUNDS |= {
-    "GRF14_contract_links": [(" WHERE l_orderkey % 10 = 3", "")],
-    "STR14_parse_prose": [(" WHERE o_orderkey % 2 = 0", "")],
-    "JOIN23_common_seeds": [(" WHERE arm < 3", ""), ("= 3", "= (SELECT count(DISTINCT arm) FROM runs)")],
-    "AGG47_cost_model": [(" WHERE arm < 6", "")],
-}
-
-
-def whole(name):
-    sql = registry.oracle_sql()[name]
-    for old, new in BOUNDS[name]:
-        sql = sql.replace(old, new)
-    return sql
-
-
-@pytest.mark.parametrize("name", sorted(BOUNDS))
-def test_query_reads_the_whole_table(spark, name):
-    folder = f"/root/testdata/{'sf0.001' if BOUNDS[name] is GRAPHS else 'sf0.01'}"
-    con = duckdb.connect()
-    for t in TABLES.split():
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
-    df = registry.queries()[name](spark, folder)
-    columns = sorted(df.columns)
-    got = sorted(plain(r) for r in df.select(*columns).collect())
-    want = con.execute(f"SELECT {', '.join(f'"{c}"' for c in columns)} FROM ({whole(name)})").fetchall()
-    assert got == sorted(map(plain, want))
-
 
 def test_transition_graphs_by_brute_force(spark, tmp_path):
     from graphloom.plans.structure import TYPES, graphs
