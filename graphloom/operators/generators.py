@@ -118,14 +118,16 @@ def kin(people: DataFrame) -> DataFrame:
     return out
 
 
-def closure(edges: DataFrame, max_depth: int) -> DataFrame:
-    """(graph_id, src, dst, depth): all descendants along edges, each at its least depth."""
+def closure(edges: DataFrame) -> DataFrame:
+    """(graph_id, src, dst, depth): all descendants along edges, each at its least depth; cycles end where nothing is new."""
     step = edges.select("graph_id", F.col("src").alias("dst"), F.col("dst").alias("to"))
     seen = front = materialize(edges.select("graph_id", "src", "dst").distinct().withColumn("depth", F.lit(1).cast("long")), "closure")
-    for depth in range(2, max_depth + 1):
+    depth = 1
+    while not front.isEmpty():
+        depth += 1
         new = front.join(step, ["graph_id", "dst"]).select("graph_id", "src", F.col("to").alias("dst")).distinct().join(seen, ["graph_id", "src", "dst"], "left_anti")
         front = materialize(new.withColumn("depth", F.lit(depth).cast("long")), "closure")
-        if front.isEmpty():
-            break
         seen = seen.unionByName(front)
+        if depth % 16 == 0:
+            seen = materialize(seen, "closure")
     return seen

@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -112,45 +111,27 @@ def candidate_order(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("order", F.row_number().over(order).cast("long"))
 
 
-def water_fill(sizes: list[int], budget: int) -> list[int]:
-    """Rounds of equal shares max(1, left // hungry), in table order, until budget or candidates end."""
-    taken, left = [0] * len(sizes), budget
-    while left and (hungry := [i for i, s in enumerate(sizes) if taken[i] < s]):
-        share = max(1, left // len(hungry))
-        for i in hungry:
-            n = min(share, sizes[i] - taken[i], left)
-            taken[i] += n
-            left -= n
-    return taken
-
-
 def even_split(ordered: DataFrame, budget: int) -> DataFrame:
-    """Keep of each seed at most budget candidates, split evenly over its tables (in name order), each table's first ones.
-
-    Only the counts by table reach Python; rows are kept by a join with the quotas.
-    """
-    counts = ordered.groupBy("seed_id", "tbl").agg(F.count(F.lit(1)).alias("size"))
-
-    def quotas(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("tbl")
-        return pdf.assign(quota=water_fill(pdf["size"].tolist(), budget))[["seed_id", "tbl", "quota"]]
+    """Keep of each seed at most budget candidates, split evenly over its tables, each table's first ones.
 
-    quota = counts.groupBy("seed_id").applyInPandas(quotas, "seed_id long, tbl string, quota long")
-    return ordered.join(quota, ["seed_id", "tbl"]).where(F.col("order") <= F.col("quota")).drop("quota")
+    Taking turns does it: first the first row of every table, then the second of each, and so on, tables in name order. What
+    a short table leaves goes to the others, and the remainder to the first tables that still have rows. The rank limit
+    stands on the window, so losing rows go before they are shuffled."""
+    turns = Window.partitionBy("seed_id").orderBy("order", "tbl", "row")
+    return ordered.withColumn("turn", F.row_number().over(turns)).where(F.col("turn") <= budget).drop("turn")
 
 
 def allocate(candidates: DataFrame, links: DataFrame, link_tables: list[str], budget: int) -> DataFrame:
-    """Budgeted selection: the seed row always, then content rows split evenly, then link rows that still join two kept
-    rows besides the seed's, by order, into what is left. links: (seed_id, row, other) for link rows and their neighbours."""
+    """Budgeted selection: the seed row always, then content rows split evenly into the rest of the budget. Rows of link tables
+    are structure and free of the budget: one is kept where a neighbour besides the seed is kept.
+
+    links: (seed_id, tbl, row, other_tbl, other), link rows with their neighbours."""
     ordered = candidate_order(candidates)
-    seed = ordered.where("hop = 0")
     content = even_split(ordered.where((F.col("hop") > 0) & ~F.col("tbl").isin(link_tables)), budget - 1)
-    kept = seed.unionByName(content)
-    alive = links.join(content.select("seed_id", F.col("row").alias("other")), ["seed_id", "other"], "left_semi").select("seed_id", "row").distinct()
-    spare = kept.groupBy("seed_id").agg((F.lit(budget) - F.count(F.lit(1))).alias("spare"))
-    ranked = ordered.where(F.col("tbl").isin(link_tables)).join(alive, ["seed_id", "row"], "left_semi")
-    ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy("seed_id").orderBy("order", "tbl", "row"))).join(spare, "seed_id").where("place <= spare").drop("place", "spare")
-    return kept.unionByName(ranked)
+    ends = content.select("seed_id", F.col("tbl").alias("other_tbl"), F.col("row").alias("other"))
+    alive = links.join(ends, ["seed_id", "other_tbl", "other"], "left_semi").select("seed_id", "tbl", "row")
+    joined = ordered.where(F.col("tbl").isin(link_tables)).join(alive, ["seed_id", "tbl", "row"], "left_semi").select(*ordered.columns)
+    return ordered.where("hop = 0").unionByName(content).unionByName(joined)
 
 
 def dense_positions(nodes: DataFrame) -> DataFrame:
@@ -186,25 +167,30 @@ def contract_links(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return clean_edges(kept.unionByName(made), "graph_id")
 
 
-def reachable(edges: DataFrame, sources: DataFrame, max_hops: int, directed: bool = False) -> DataFrame:
-    """(graph_id, node, dist): nodes within max_hops of a graph's sources (graph_id, node), by frontier joins.
+def reachable(edges: DataFrame, sources: DataFrame, max_hops: int | None = None, directed: bool = False) -> DataFrame:
+    """(graph_id, node, dist): nodes within max_hops (all, where None) of a graph's sources (graph_id, node), by frontier joins.
 
-    Each hop is written to the shared folder; the loop ends early when a frontier is empty."""
+    Each hop is written to the shared folder; the loop ends when a frontier is empty, and now and then what was seen is
+    written anew, so that plans stay short."""
     step = edges.select("graph_id", F.col("src").alias("node"), F.col("dst").alias("to"))
     if not directed:
         step = step.unionByName(edges.select("graph_id", F.col("dst").alias("node"), F.col("src").alias("to"))).distinct()
     seen = front = materialize(sources.select("graph_id", "node").distinct().withColumn("dist", F.lit(0).cast("long")), "frontier")
-    for hop in range(1, max_hops + 1):
+    hop = 0
+    while max_hops is None or hop < max_hops:
+        hop += 1
         new = front.join(step, ["graph_id", "node"]).select("graph_id", F.col("to").alias("node")).distinct().join(seen, ["graph_id", "node"], "left_anti")
         front = materialize(new.withColumn("dist", F.lit(hop).cast("long")), "frontier")
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+        if hop % 16 == 0:
+            seen = materialize(seen, "reached")
     return seen
 
 
-def drop_orphans(nodes: DataFrame, edges: DataFrame, max_hops: int = 8) -> DataFrame:
-    """Nodes (graph_id, pos, ...) of the component of position 0, with new gapless positions new_pos."""
-    inside = reachable(edges, nodes.where("pos = 0").select("graph_id", F.col("pos").alias("node")), max_hops).select("graph_id", F.col("node").alias("pos"))
+def drop_orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes (graph_id, pos, ...) of the whole component of position 0, with new gapless positions new_pos."""
+    inside = reachable(edges, nodes.where("pos = 0").select("graph_id", F.col("pos").alias("node"))).select("graph_id", F.col("node").alias("pos"))
     order = Window.partitionBy("graph_id").orderBy("pos")
     return nodes.join(inside, ["graph_id", "pos"], "left_semi").withColumn("new_pos", (F.row_number().over(order) - 1).cast("long"))

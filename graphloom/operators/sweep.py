@@ -6,10 +6,11 @@ import hashlib
 import itertools
 import json
 import re
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.sources.sinks import markdown_table
+from graphloom.sources.sinks import cell, markdown_table, shown_columns
 
 #: Keys that steer the runner and are no parameters.
 RESERVED = ("name", "execution")
@@ -75,10 +76,28 @@ def flags(run: dict) -> list[str]:
     return out
 
 
-def report(runs: list[dict]) -> str:
-    """Markdown: what all runs share, then a row for each in order of sweep_run, or run_name without one."""
-    runs = sorted(runs, key=lambda r: (r.get("sweep_run") is None, r.get("sweep_run") or 0, str(r.get("run_name") or "")))
-    columns = list(dict.fromkeys(c for r in runs for c in r))
-    same = [c for c in columns if len(runs) > 1 and all(c in r for r in runs) and len({json.dumps(r[c], sort_keys=True) for r in runs}) == 1]
-    head = "\n".join(f"- {c}: {runs[0][c]}" for c in same)
-    return (head + "\n\n" if head else "") + markdown_table(runs, [c for c in columns if c not in same])
+def shared_columns(runs: list[dict]) -> tuple[list[str], dict[str, str]]:
+    """(columns that vary, shared values as text): a column is shared when two or more runs all have it with one text."""
+    texts = {c: [cell(r[c]) for r in runs if c in r] for c in shown_columns(runs)}
+    shared = {c: t[0] for c, t in texts.items() if len(runs) == len(t) > 1 and len(set(t)) == 1}
+    return [c for c in texts if c not in shared], shared
+
+
+def report(runs: list[dict], name: str = "") -> str:
+    """Markdown: what all runs share, then a row for each in order of sweep_run; runs without one follow by run_name."""
+    runs = sorted(runs, key=lambda r: (0, str(r["sweep_run"])) if "sweep_run" in r else (1, str(r.get("run_name") or "")))
+    varying, shared = shared_columns(runs)
+    parts = [f"# Sweep report: {name}", f"{len(runs)} run(s) recorded."]
+    if shared:
+        parts += ["Shared across all runs:", "\n".join(f"- `{k}` = {v}" for k, v in shared.items())]
+    return "\n\n".join([*parts, markdown_table(runs, varying)]) + "\n"
+
+
+def write_report(folder: str) -> str:
+    """report.md of a folder's runs.jsonl, which need not exist yet; returns the text. For a folder that the driver can open."""
+    base = Path(folder)
+    file = base / "runs.jsonl"
+    runs = [json.loads(line) for line in file.read_text().splitlines() if line.strip()] if file.exists() else []
+    text = report(runs, base.name)
+    (base / "report.md").write_text(text)
+    return text

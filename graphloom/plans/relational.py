@@ -110,7 +110,7 @@ def win01(spark, sf):
     return R.candidate_order(candidates(spark, sf))
 
 
-@register("WIN02_even_split")
+@register("WIN02_even_split", ORDER_SQL + """, turns AS (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY "order", tbl, row) AS turn FROM ordered) SELECT seed_id, tbl, row, hop, ts, "order" FROM turns WHERE turn <= 5""")
 def win02(spark, sf):
     return R.even_split(R.candidate_order(candidates(spark, sf)), 5)
 
@@ -133,11 +133,26 @@ def agg38(spark, sf):
     return candidates(spark, sf).groupBy("tbl").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("TOP04_allocate")
+#: Orders and parts of a customer, joined by line items, which are link rows: (order, part) pairs that were shipped in time.
+BRIDGE_SQL = CAND_SQL + """, lines AS (SELECT DISTINCT seed_id, l_orderkey, l_partkey, l_orderkey * 1000000 + l_partkey AS row FROM cand JOIN lineitem ON tbl = 'orders' AND l_orderkey = row),
+more AS (SELECT * FROM cand UNION ALL SELECT seed_id, 'lineitem', row, 2, 0 FROM lines UNION ALL SELECT DISTINCT seed_id, 'part', l_partkey, 3, 0 FROM lines),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY seed_id, tbl ORDER BY hop, ts DESC, row)::BIGINT AS "order" FROM more),
+turns AS (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY "order", tbl, row) AS turn FROM ordered WHERE hop > 0 AND tbl <> 'lineitem'),
+content AS (SELECT * EXCLUDE turn FROM turns WHERE turn <= 7),
+alive AS (SELECT l.seed_id, l.row FROM lines l WHERE EXISTS (SELECT 1 FROM content c WHERE c.seed_id = l.seed_id AND (c.tbl = 'orders' AND c.row = l_orderkey OR c.tbl = 'part' AND c.row = l_partkey)))"""
+
+
+@register("TOP04_allocate", BRIDGE_SQL + """ SELECT * FROM ordered WHERE hop = 0 UNION ALL SELECT * FROM content
+UNION ALL SELECT o.* FROM ordered o SEMI JOIN alive a ON a.seed_id = o.seed_id AND a.row = o.row WHERE o.tbl = 'lineitem'""")
 def top04(spark, sf):
     rows = candidates(spark, sf)
-    none = rows.where("false").select("seed_id", "row", F.col("row").alias("other"))
-    return R.allocate(rows, none, [], 6)
+    lines = rows.where("tbl = 'orders'").join(read_table(spark, sf, "lineitem"), F.col("row") == F.col("l_orderkey"))
+    lines = lines.select("seed_id", "l_orderkey", "l_partkey", (F.col("l_orderkey") * 1000000 + F.col("l_partkey")).alias("row")).distinct()
+    as_rows = lambda df, tbl, row, hop: df.select("seed_id", F.lit(tbl).alias("tbl"), F.col(row).alias("row"), F.lit(hop).cast("long").alias("hop"), F.lit(0).cast("long").alias("ts"))
+    rows = rows.unionByName(as_rows(lines, "lineitem", "row", 2)).unionByName(as_rows(lines, "part", "l_partkey", 3).distinct())
+    ends = F.explode(F.array(F.struct(F.lit("orders").alias("other_tbl"), F.col("l_orderkey").alias("other")), F.struct(F.lit("part").alias("other_tbl"), F.col("l_partkey").alias("other"))))
+    links = lines.select("seed_id", F.lit("lineitem").alias("tbl"), "row", ends.alias("end")).select("seed_id", "tbl", "row", "end.*")
+    return R.allocate(rows, links, ["lineitem"], 8)
 
 
 #: Bipartite sample graphs: of each order, its parts through lineitem as link rows.

@@ -45,24 +45,44 @@ def manifest(rows: DataFrame, **facts) -> str:
 
 
 def cell(value) -> str:
-    """A value for a report: four decimals, three digits for the very small, lists joined."""
+    """A value for a report: four decimals, three digits for the very small, lists in brackets, nothing for None."""
     if value is None:
         return ""
     if isinstance(value, float):
         return f"{value:.3g}" if value and abs(value) < 1e-3 else f"{value:.4f}"
-    if isinstance(value, (list, tuple)):
-        return ", ".join(map(cell, value))
-    return str(value)
+    return f"[{','.join(map(str, value))}]" if isinstance(value, (list, tuple)) else str(value)
+
+
+def _is_number(value) -> bool:
+    return isinstance(value, (int, float)) and not isinstance(value, bool)
+
+
+def shown_columns(rows: list[dict], hidden: tuple[str, ...] = ("timestamp",)) -> list[str]:
+    """All keys in the order of their first appearance, without bookkeeping."""
+    return [c for c in dict.fromkeys(c for r in rows for c in r) if c not in hidden]
 
 
 def markdown_table(rows: list[dict], columns: list[str] | None = None) -> str:
-    """Pipe table of few rows: numbers to the right, bars escaped; '(no runs)' for none."""
+    """Pipe table of few rows: columns of numbers to the right, bars escaped; '(no runs)' for none."""
+    if not rows:
+        return "(no runs)"
+    columns = shown_columns(rows) if columns is None else columns
+    given = {c: [r[c] for r in rows if r.get(c) is not None] for c in columns}
+    rule = "".join(f" {'---:' if given[c] and all(map(_is_number, given[c])) else '---'} |" for c in columns)
+    lines = [columns, *([cell(r.get(c)).replace("|", "\\|") for c in columns] for r in rows)]
+    head, *body = ("| " + " | ".join(x) + " |" for x in lines)
+    return "\n".join([head, "|" + rule, *body])
+
+
+def text_table(rows: list[dict], columns: list[str] | None = None) -> str:
+    """The same in columns of fixed width, for a terminal."""
     if not rows:
         return "(no runs)"
-    columns = columns or list(dict.fromkeys(c for r in rows for c in r))
-    right = [all(isinstance(r.get(c), (int, float)) for r in rows if r.get(c) is not None) for c in columns]
-    line = lambda cells: "| " + " | ".join(x.replace("|", r"\|") for x in cells) + " |"
-    return "\n".join([line(columns), "|" + "|".join("---:" if r else "---" for r in right) + "|", *(line([cell(r.get(c)) for c in columns]) for r in rows)])
+    columns = shown_columns(rows) if columns is None else columns
+    grid = [columns, *([cell(r.get(c)) for c in columns] for r in rows)]
+    widths = [max(map(len, column)) for column in zip(*grid, strict=True)]
+    grid.insert(1, ["-" * w for w in widths])
+    return "\n".join("  ".join(x.ljust(w) for x, w in zip(line, widths, strict=True)) for line in grid)
 
 
 def chat_json(turns: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,21 @@ def windowed_counts(events: DataFrame, width: str, slide: str | None = None, lat
     return out.select(F.unix_seconds("w.start").alias("start"), "event_type", "n", "total")
 
 
+def drain(stream: Callable[[], DataFrame], out: str, state: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Read what a stream has now into the Parquet folder out; what is returned reads what has come since, with the same
+    state, and gives all closed rows. Both reads end when the source is used up."""
+
+    def go() -> None:
+        stream().writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
+
+    def rest(spark: SparkSession, schema: str) -> DataFrame:
+        go()
+        return spark.read.schema(schema).parquet(out)
+
+    go()
+    return rest
+
+
 def sessions(events: DataFrame, gap: str, late: str = "1 hour") -> DataFrame:
     """(user_id, start, n) of sessions that end after a gap without events."""
     rows = events.withColumn("ts", F.col("ts").cast("timestamp"))

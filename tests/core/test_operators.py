@@ -14,7 +14,7 @@ from graphloom.operators import structure as S
 from graphloom.operators import sweep as W
 from graphloom.operators import tokens as P
 from graphloom.operators.textgraph import TextGraphs, row_order_problems
-from graphloom.sources.sinks import markdown_table
+from graphloom.sources.sinks import markdown_table, text_table
 
 
 def one(spark, column):
@@ -28,10 +28,35 @@ def test_inclusive_boundary_and_last_k(spark):
     assert times(99) == [55, 50, 40, 30, 20, 10, 0] and times(3) == [55, 50, 40]
 
 
-@pytest.mark.parametrize(("sizes", "budget"), [([5, 1, 9], 6), ([1, 1], 9), ([3, 3, 3], 2), ([], 4), ([10, 0, 2], 7)])
-def test_water_fill(sizes, budget):
-    taken = R.water_fill(sizes, budget)
-    assert sum(taken) == min(budget, sum(sizes)) and all(t <= s for t, s in zip(taken, sizes))
+@pytest.mark.parametrize(("sizes", "budget"), [([5, 1, 9], 6), ([1, 1], 9), ([3, 3, 3], 2), ([10, 0, 2], 7), ([4, 4, 4], 11)])
+def test_even_split(spark, sizes, budget):
+    rows = [(1, f"t{t}", i, 1, 0, i + 1) for t, n in enumerate(sizes) for i in range(n)]
+    got = R.even_split(spark.createDataFrame(rows, "seed_id long, tbl string, row long, hop long, ts long, order long"), budget).collect()
+    # one row at a time to every table that has some left, tables in order, while the budget lasts
+    taken, left = [0] * len(sizes), budget
+    while left and any(t < s for t, s in zip(taken, sizes)):
+        for i, size in enumerate(sizes):
+            if left and taken[i] < size:
+                taken[i], left = taken[i] + 1, left - 1
+    assert {(r.tbl, r.row) for r in got} == {(f"t{t}", i) for t, n in enumerate(taken) for i in range(n)}
+
+
+def test_link_rows_are_free_of_the_budget(spark):
+    """A seed, five rows of a dimension, and between them ten link rows, half of them to rows beyond the budget."""
+    cand = [(0, "study", 0, 0, 0)] + [(0, "bridge", i, 1, 100 - i) for i in range(10)] + [(0, "site", i, 2, 0) for i in range(10)]
+    links = [(0, "bridge", i, t, k) for i in range(10) for t, k in (("study", 0), ("site", i))]
+    out = R.allocate(spark.createDataFrame(cand, "seed_id long, tbl string, row long, hop long, ts long"), spark.createDataFrame(links, "seed_id long, tbl string, row long, other_tbl string, other long"), ["bridge"], 6).collect()
+    rows = {t: sorted(r.row for r in out if r.tbl == t) for t in ("study", "bridge", "site")}
+    assert rows == {"study": [0], "bridge": [0, 1, 2, 3, 4], "site": [0, 1, 2, 3, 4]}
+
+
+def test_components_of_any_width(spark):
+    from graphloom.operators.generators import closure
+
+    nodes = spark.createDataFrame([(0, i) for i in range(45)], "graph_id long, pos long")
+    edges = spark.createDataFrame([(0, i, i + 1) for i in [*range(39), *range(41, 44)]], "graph_id long, src long, dst long")
+    assert sorted(r.new_pos for r in R.drop_orphans(nodes, edges).collect()) == list(range(40))
+    assert closure(edges).where("src = 0").count() == 39
 
 
 def test_unknown_parent_is_an_error(spark):
@@ -150,8 +175,15 @@ def test_sweeps():
     assert W.flags({"a": True, "b": False, "c": [1, 2], "d": "x"}) == ["--a", "--c", "1", "2", "--d", "x"]
 
 
-def test_reports():
-    assert markdown_table([]) == "(no runs)"
-    text = W.report([{"sweep_run": 1, "model": "m", "f1": 0.5, "note": "a|b"}, {"sweep_run": 0, "model": "m", "f1": 0.25}])
-    assert text.startswith("- model: m\n\n") and r"a\|b" in text and text.index("0.2500") < text.index("0.5000")
-    assert "- " not in W.report([{"sweep_run": 0, "model": "m"}]).split("|")[0]
+def test_reports(tmp_path):
+    assert markdown_table([]) == text_table([]) == "(no runs)"
+    runs = [{"sweep_run": "0001_b", "model": "m", "f1": 0.5, "note": "a|b", "timestamp": 3}, {"sweep_run": "0000_a", "model": "m", "f1": 0.25, "ok": True, "dims": [1, 2]}]
+    text = W.report(runs, "s")
+    assert text.startswith("# Sweep report: s\n\n2 run(s) recorded.\n\nShared across all runs:\n\n- `model` = m\n\n| sweep_run | f1 |")
+    assert r"a\|b" in text and text.index("0.2500") < text.index("0.5000") and "[1,2]" in text and "timestamp" not in text
+    assert "| --- | ---: | --- | --- | --- |" in text  # booleans and lists are no numbers
+    assert "Shared" not in W.report(runs[:1])
+    assert text_table([{"a": 1, "bb": "x"}]) == "a  bb\n-  --\n1  x "
+    assert W.write_report(str(tmp_path)).endswith("(no runs)\n")
+    (tmp_path / "runs.jsonl").write_text('{"sweep_run": "0", "lr": 3e-05}\n\n')
+    assert "3e-05" in W.write_report(str(tmp_path)) == (tmp_path / "report.md").read_text()
