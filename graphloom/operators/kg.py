@@ -161,3 +161,40 @@ def shared_first(edges: DataFrame) -> DataFrame:
     first = edges.groupBy("graph_id", "src").agg(F.min("dst").alias("boss"))
     x, y = first.alias("x"), first.alias("y")
     return x.join(y, F.expr("x.graph_id = y.graph_id and x.boss = y.boss and x.src < y.src")).select("x.graph_id", F.col("x.src").alias("a"), F.col("y.src").alias("b"))
+
+
+def answer_text(answer: Column) -> Column:
+    """What an answer (text, kb_id) is scored by: its text, else an id that is a literal; null for a mediator or entity id without text."""
+    kb = answer["kb_id"]
+    return F.when(answer["text"] != "", answer["text"]).when((kb != "") & ~kb.rlike(r"^[mg]\."), T.decode_escapes(kb))
+
+
+def gold_texts(answers: Column) -> Column:
+    """Different texts of an array of answers, in order; an answer without one is kept under its id, which no prediction matches."""
+    shown = F.transform(answers, lambda a: F.coalesce(answer_text(a), F.when(a["kb_id"] != "", a["kb_id"])))
+    return F.array_distinct(F.filter(shown, lambda t: t.isNotNull()))
+
+
+def question_graphs(nodes: DataFrame, edges: DataFrame, topics: DataFrame, prompts: DataFrame, gold: DataFrame, versions: int, most: int, sep: str, seed: str, keep_unanswerable: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Graphs of questions in several versions that differ in the order of their answers: nodes (qid, version, node, is_rel, text) and edges
+    (qid, version, src, dst), a PROMPT node with question and answers included.
+
+    gold (qid, node, text): answers that are in the graph count, each text once, in an order by the SHA-256 of seed, question, version and
+    text; a prompt holds the first most of them, joined by sep. A question without such an answer is left out, or with
+    keep_unanswerable kept once, with no answer."""
+    there = gold.join(nodes.select("qid", "node"), ["qid", "node"], "left_semi").select("qid", "text").distinct()
+    spread = there.withColumn("version", F.explode(F.sequence(F.lit(0), F.lit(versions - 1))))
+    mark = F.sha2(F.concat_ws(":", F.lit(seed), F.col("qid").cast("string"), F.col("version").cast("string"), "text"), 256)
+    told = spread.groupBy("qid", "version").agg(F.array_sort(F.collect_list(F.struct(mark.alias("mark"), "text"))).alias("x"))
+    told = told.select("qid", "version", F.array_join(F.slice(F.transform("x", lambda s: s["text"]), 1, most), sep).alias("answers"))
+    if keep_unanswerable:
+        none = prompts.select("qid").distinct().join(told, "qid", "left_anti").select("qid", F.lit(0).alias("version"), F.lit("").alias("answers"))
+        told = told.unionByName(none)
+    told = materialize(told, "question-versions")
+    which = told.select("qid", "version")
+    asked = prompts.withColumnRenamed("text", "ask").join(told, "qid").select("qid", "version", F.concat("ask", "answers").alias("text"))
+    copies = nodes.join(which, "qid").select("qid", "version", "node", "is_rel", "text")
+    copies = copies.unionByName(asked.select("qid", "version", F.lit("PROMPT").alias("node"), F.lit(False).alias("is_rel"), "text"))
+    linked = topics.join(nodes.select("qid", "node"), ["qid", "node"], "left_semi").distinct().join(which, "qid")
+    links = linked.select("qid", "version", F.lit("PROMPT").alias("src"), F.col("node").alias("dst"))
+    return copies, edges.join(which, "qid").select("qid", "version", "src", "dst").unionByName(links)

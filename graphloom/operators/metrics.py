@@ -144,8 +144,8 @@ def grid_cells(records: DataFrame) -> DataFrame:
     """Pool records (hops, n_nodes, tokens_per_node, n, em, code_acc, packed_len, in_train) by cell with Wilson bounds.
 
     The metric is code_acc if every record has it, otherwise em."""
-    has = F.min(F.col("code_acc").isNotNull()).over(Window.partitionBy())
-    rows = records.withColumn("metric", F.when(has, F.col("code_acc")).otherwise(F.col("em")))
+    has = records.agg(F.coalesce(F.min(F.col("code_acc").isNotNull()), F.lit(False)).alias("__has"))
+    rows = records.crossJoin(F.broadcast(has)).withColumn("metric", F.when(F.col("__has"), F.col("code_acc")).otherwise(F.col("em")))
     out = rows.groupBy("hops", "n_nodes", "tokens_per_node").agg(F.sum(F.round(F.col("metric") * F.col("n"))).cast("long").alias("hits"), F.sum("n").cast("long").alias("total"), F.max("packed_len").alias("packed_len"), F.min("in_train").alias("in_train"), F.count(F.lit(1)).alias("seeds"))
     lo, hi = wilson(F.col("hits"), F.col("total"))
     return out.withColumns({"accuracy": F.col("hits") / F.col("total"), "lo": lo, "hi": hi})
@@ -161,3 +161,11 @@ def length_summary(rows: DataFrame, column: str, *keys: str) -> DataFrame:
     """Count, mean, population deviation, extremes and p10, p50, p90, p99 of lengths."""
     p = lambda q: F.expr(f"percentile({column}, {q})")
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(column).alias("mean"), F.stddev_pop(column).alias("std_pop"), F.min(column).alias("min"), F.max(column).alias("max"), p(0.1).alias("p10"), p(0.5).alias("p50"), p(0.9).alias("p90"), p(0.99).alias("p99"))
+
+
+def shifted_match(rows: DataFrame, ignore: int = -100) -> DataFrame:
+    """(graph_id, hit): whether all supervised labels (graph_id, pos, pred, label) are met by the prediction of the place before;
+    nothing supervised is no hit."""
+    before = F.lag("pred").over(Window.partitionBy("graph_id").orderBy("pos"))
+    met = rows.withColumn("met", F.when(F.col("label") != ignore, F.coalesce(before == F.col("label"), F.lit(False))))
+    return met.groupBy("graph_id").agg(F.coalesce(F.min("met"), F.lit(False)).alias("hit"))

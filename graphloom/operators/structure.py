@@ -144,6 +144,39 @@ def magnetic_features(nodes: DataFrame, edges: DataFrame, q: float, m: int) -> D
     return _per_graph(nodes, edges, work, "graph_id long, k long, value double, re array<double>, im array<double>")
 
 
+def laplacian_entries(nodes: DataFrame, edges: DataFrame, q: float | None = None) -> DataFrame:
+    """(graph_id, i, j, re, im) of Laplacians in long form, zeros left out: the magnetic one with charge q, normalised, or without q the
+    combinatorial one of the symmetrised graph."""
+    one = edges.select("graph_id", "src", "dst").where("src <> dst").distinct()
+    there = one.select("graph_id", F.col("src").alias("i"), F.col("dst").alias("j"), F.lit(1.0).alias("f"), F.lit(0.0).alias("b"))
+    back = one.select("graph_id", F.col("dst").alias("i"), F.col("src").alias("j"), F.lit(0.0).alias("f"), F.lit(1.0).alias("b"))
+    pairs = there.unionByName(back).groupBy("graph_id", "i", "j").agg(F.sum("f").alias("f"), F.sum("b").alias("b"))
+    weight = F.lit(1.0) if q is None else (F.col("f") + F.col("b")) / 2
+    pairs = pairs.select("graph_id", "i", "j", weight.alias("w"), (2 * np.pi * (q or 0.0) * (F.col("f") - F.col("b"))).alias("turn"))
+    degree = pairs.groupBy("graph_id", "i").agg(F.sum("w").alias("deg"))
+    diagonal = nodes.select("graph_id", F.col("node").alias("i")).distinct()
+    if q is None:
+        off = pairs.select("graph_id", "i", "j", (-F.col("w")).alias("re"), F.lit(0.0).alias("im"))
+        own = diagonal.join(degree, ["graph_id", "i"], "left").select("graph_id", "i", F.col("i").alias("j"), F.coalesce("deg", F.lit(0.0)).alias("re"), F.lit(0.0).alias("im"))
+    else:
+        ends = pairs.join(degree.withColumnRenamed("deg", "di"), ["graph_id", "i"]).join(degree.select("graph_id", F.col("i").alias("j"), F.col("deg").alias("dj")), ["graph_id", "j"])
+        size = -F.col("w") / F.sqrt(F.col("di") * F.col("dj"))
+        off = ends.select("graph_id", "i", "j", (size * F.cos("turn")).alias("re"), (size * F.sin("turn")).alias("im"))
+        own = diagonal.select("graph_id", "i", F.col("i").alias("j"), F.lit(1.0).alias("re"), F.lit(0.0).alias("im"))
+    return off.unionByName(own)
+
+
+def eigen_residuals(entries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(graph_id, k, quotient, norm, residual): of vectors (graph_id, k, node, re, im) the Rayleigh quotient v*Lv / v*v, v*v, and |Lv - quotient v|."""
+    v = vectors.select("graph_id", "k", F.col("node").alias("j"), F.col("re").alias("x"), F.col("im").alias("y"))
+    product = entries.join(v, ["graph_id", "j"]).groupBy("graph_id", "k", F.col("i").alias("node")).agg(F.sum(F.col("re") * F.col("x") - F.col("im") * F.col("y")).alias("a"), F.sum(F.col("re") * F.col("y") + F.col("im") * F.col("x")).alias("b"))
+    both = vectors.select("graph_id", "k", "node", F.col("re").alias("x"), F.col("im").alias("y")).join(product, ["graph_id", "k", "node"])
+    sums = both.groupBy("graph_id", "k").agg(F.sum(F.col("x") * F.col("x") + F.col("y") * F.col("y")).alias("norm"), F.sum(F.col("x") * F.col("a") + F.col("y") * F.col("b")).alias("energy"))
+    sums = sums.select("graph_id", "k", "norm", F.when(F.col("norm") > 0, F.col("energy") / F.col("norm")).otherwise(0.0).alias("quotient"))
+    gaps = both.join(sums, ["graph_id", "k"]).groupBy("graph_id", "k").agg(F.sqrt(F.sum(F.pow(F.col("a") - F.col("quotient") * F.col("x"), 2) + F.pow(F.col("b") - F.col("quotient") * F.col("y"), 2))).alias("residual"))
+    return sums.join(gaps, ["graph_id", "k"])
+
+
 def _cuthill_mckee(a: np.ndarray) -> list[int]:
     """Reverse Cuthill-McKee order: breadth-first from nodes of least degree, neighbours by degree, then reversed."""
     a = np.maximum(a, a.T) > 0

@@ -64,15 +64,15 @@ def runs_frame(spark: SparkSession, runs: list[dict]) -> DataFrame:
 
 
 def flags(run: dict) -> list[str]:
-    """Command-line arguments of a run; true is a bare flag, false and null leave none."""
+    """Command-line arguments of a run: true and false as --key and --no-key, lists and maps (k=v) joined by commas; null leaves none."""
     out = []
     for key, value in run.items():
-        if value is True:
-            out.append(f"--{key}")
-        elif isinstance(value, (list, tuple)):
-            out += [f"--{key}", *map(str, value)]
-        elif value is not None and value is not False:
-            out += [f"--{key}", str(value)]
+        name = key.replace("_", "-")
+        if isinstance(value, bool):
+            out.append(f"--{name}" if value else f"--no-{name}")
+        elif value is not None:
+            parts = [f"{k}={v}" for k, v in value.items()] if isinstance(value, dict) else map(str, value) if isinstance(value, (list, tuple)) else [str(value)]
+            out += [f"--{name}", ",".join(parts)]
     return out
 
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from graphloom.operators.positions import global_index
+from graphloom.storage import file_system, free_name, materialize, put_in_place
+
 
 @dataclass(frozen=True)
 class TextGraphs:
@@ -56,30 +61,46 @@ class TextGraphs:
         return replace(self, nodes=nodes, edges=edges)
 
     def save(self, path: str) -> None:
+        """Write all parts beside path and put them in place together."""
+        spark, fresh = self.graphs.sparkSession, f"{path}.new-{uuid.uuid4().hex}"
         for name in ("graphs", "nodes", "edges"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
-        meta = self.graphs.sparkSession.createDataFrame([(self.versions, self.ordering)], "versions int, ordering string")
-        meta.write.mode("overwrite").json(f"{path}/meta")
+            getattr(self, name).write.parquet(f"{fresh}/{name}")
+        spark.createDataFrame([(self.versions, self.ordering)], "versions int, ordering string").write.json(f"{fresh}/meta")
+        put_in_place(spark, fresh, path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> TextGraphs:
-        meta = spark.read.schema("versions int, ordering string").json(f"{path}/meta").first()
-        return cls(*(spark.read.parquet(f"{path}/{n}") for n in ("graphs", "nodes", "edges")), meta["versions"], meta["ordering"])
+        """A saved collection. One without meta has one version in original order; one without ds_label gets a label that follows from its
+        path. A folder that lacks a part is an error."""
+        there = lambda name: (found := file_system(spark, f"{path}/{name}"))[0].exists(found[1])
+        if missing := [n for n in ("graphs", "nodes", "edges") if not there(n)]:
+            raise FileNotFoundError(f"{path} lacks {', '.join(missing)}")
+        meta = spark.read.schema("versions int, ordering string").json(f"{path}/meta").first() if there("meta") else None
+        graphs, nodes, edges = (spark.read.parquet(f"{path}/{n}") for n in ("graphs", "nodes", "edges"))
+        if "ds_label" not in graphs.columns:
+            graphs = graphs.withColumn("ds_label", F.lit("ds_" + hashlib.sha256(path.encode()).hexdigest()[:6]))
+        return cls(graphs, nodes, edges, (meta and meta["versions"]) or 1, (meta and meta["ordering"]) or "original")
 
 
 def stride(rows: DataFrame, order: str, limit: int, one_based: bool = False) -> DataFrame:
     """Every s-th row by order, s = max(1, rows // limit): from the first (i % s = 0), or one-based from the s-th."""
-    rn = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order))
-    step = F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))) / limit))
-    return rows.withColumns({"__rn": rn - (0 if one_based else 1), "__s": step}).where(F.col("__rn") % F.col("__s") == 0).drop("__rn", "__s")
+    at = free_name(rows, "at")
+    step = max(1, rows.count() // limit)
+    return global_index(rows, [order], at).where((F.col(at) + int(one_based)) % step == 0).drop(at)
 
 
 def strided_blocks(rows: DataFrame, order: str, limit: int, block: int = 50) -> DataFrame:
     """At most limit rows (all if they are no more): limit // block runs of block rows, evenly spread in order."""
-    pieces, w = limit // block, Window.partitionBy(F.lit(0))
-    n = F.count(F.lit(1)).over(w)
-    rows = rows.withColumns({"__i": F.row_number().over(w.orderBy(order)) - 1, "__s": F.ceil(n / pieces), "__n": n})
-    return rows.where((F.col("__n") <= limit) | (F.col("__i") % F.col("__s") < block)).drop("__i", "__s", "__n")
+    n, at = rows.count(), free_name(rows, "at")
+    if n <= limit:
+        return rows
+    return global_index(rows, [order], at).where(F.col(at) % -(-n // (limit // block)) < block).drop(at)
+
+
+def tail_carve(rows: DataFrame, order: str, num: int, den: int) -> DataFrame:
+    """Add split: 'train' for the first num / den of the rows by order, rounded down, 'val' for the tail."""
+    at, first = free_name(rows, "at"), rows.count() * num // den
+    return global_index(rows, [order], at).withColumn("split", F.when(F.col(at) < first, "train").otherwise("val")).drop(at)
 
 
 def seeded_sample(rows: DataFrame, key: str, n: int, seed: str) -> DataFrame:
@@ -89,11 +110,17 @@ def seeded_sample(rows: DataFrame, key: str, n: int, seed: str) -> DataFrame:
 
 
 def row_order_problems(rows: DataFrame, pos: str, row_id: str, contiguous: bool = False) -> DataFrame:
-    """(problem, n): missing ids, ids that fall, and with contiguous ids that are not 0..n-1; no row where all is well."""
-    before = F.lag(row_id).over(Window.orderBy(pos))
-    checked = rows.withColumn("__before", before)
-    found = checked.agg(F.sum(F.col(row_id).isNull().cast("long")).alias("missing"), F.sum((F.col(row_id) <= F.col("__before")).cast("long")).alias("not monotonic"), (F.when((F.count(row_id) != F.max(row_id) + 1) | (F.countDistinct(row_id) != F.count(row_id)), 1).otherwise(0) if contiguous else F.lit(0)).cast("long").alias("not contiguous"))
-    return found.select(F.explode(F.array(*(F.struct(F.lit(c).alias("problem"), F.col(c).alias("n")) for c in found.columns))).alias("x")).select("x.*").where("n > 0")
+    """(problem, n): missing ids, ids that fall, and with contiguous ids that are not 0..n-1; no row where all is well.
+
+    Falls are sought within ranges of pos, and between the last id of a range and the first of the next one."""
+    ranged = materialize(rows.select(F.col(pos).alias("pos"), F.col(row_id).alias("id")).repartitionByRange("pos").withColumn("part", F.spark_partition_id()), "row-order")
+    inner = ranged.withColumn("before", F.lag("id").over(Window.partitionBy("part").orderBy("pos"))).where("id <= before").count()
+    ends = ranged.groupBy("part").agg(F.min_by("id", "pos").alias("first"), F.max_by("id", "pos").alias("last"))  # a row for each partition
+    falls = inner + ends.withColumn("before", F.lag("last").over(Window.orderBy("part"))).where("first <= before").count()
+    facts = ranged.agg(F.count(F.lit(1)).alias("rows"), F.count("id").alias("ids"), F.max("id").alias("top"), F.countDistinct("id").alias("different")).first()
+    gaps = contiguous and facts["ids"] and (facts["ids"] != facts["top"] + 1 or facts["different"] != facts["ids"])
+    found = [("missing", facts["rows"] - facts["ids"]), ("not monotonic", falls), ("not contiguous", int(bool(gaps)))]
+    return rows.sparkSession.createDataFrame([f for f in found if f[1]], "problem string, n long")
 
 
 def split_by_masks(rows: DataFrame) -> DataFrame:

@@ -54,10 +54,7 @@ def flt06(spark, sf):
 
 @register("FLT07_tail_carve", "SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY doc_id) > count(*) OVER () * 9 // 10 THEN 'val' ELSE 'train' END AS split FROM documents")
 def flt07(spark, sf):
-    from pyspark.sql.window import Window
-
-    rn, n = F.row_number().over(Window.orderBy("doc_id")), F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
-    return table(spark, sf, "documents", "doc_id").select("doc_id", F.when(rn > F.floor(n * 9 / 10), "val").otherwise("train").alias("split"))
+    return G.tail_carve(table(spark, sf, "documents", "doc_id"), "doc_id", 9, 10)
 
 
 @register("FLT09_answerability", "SELECT o_custkey AS qid, count(*)::BIGINT AS gold, sum((o_orderstatus = 'F')::INT)::BIGINT AS present FROM orders GROUP BY 1 HAVING sum((o_orderstatus = 'F')::INT) > 0")

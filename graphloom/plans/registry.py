@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
 #: Modules that register queries on import.
-MODULES: list[str] = ["relational", "metrics", "structure", "text", "collections", "synthetic", "more"]
+MODULES: list[str] = ["relational", "metrics", "structure", "text", "collections", "synthetic", "more", "datasets", "further"]
 
 
 def register(name: str, sql: str | None = None):

@@ -61,19 +61,28 @@ def alg04(spark, sf):
     return S.return_probabilities(S.random_walk(*graphs(spark, sf), steps=4)).withColumn("p", F.round("p", 6))
 
 
-@register("ALG05_laplacian_gram", GRAPH_SQL + " SELECT graph_id, count(*)::BIGINT AS n, 0.0::DOUBLE AS mean_abs FROM nodes GROUP BY 1")
+@register("ALG05_laplacian_coordinates", GRAPH_SQL + """ SELECT graph_id, k, true AS solved, true AS scaled FROM (SELECT graph_id, count(*) AS n FROM nodes GROUP BY 1), range(2) r(k) WHERE k < n - 1""")
 def alg05(spark, sf):
-    # eigenvectors after the first are orthogonal to constants: every coordinate sums to 0 on a connected graph
-    rows = S.laplacian_features(*graphs(spark, sf), m=2)
-    sums = rows.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"), F.abs(F.sum(F.get("coordinates", F.lit(0)))).alias("x"))
-    return sums.select("graph_id", "n", F.abs(F.round(F.when(F.col("x") < 1e-6, 0.0).otherwise(F.col("x")), 6)).alias("mean_abs"))
+    """Every coordinate is an eigenvector of the Laplacian that is made of the edges, and as long as its eigenvalue says."""
+    nodes, edges = graphs(spark, sf)
+    rows = S.laplacian_features(nodes, edges, m=2)
+    v = rows.select("graph_id", "node", F.posexplode("coordinates").alias("k", "re")).withColumn("im", F.lit(0.0))
+    n = nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"))
+    found = S.eigen_residuals(S.laplacian_entries(nodes, edges), v).join(n, "graph_id").where("k < n - 1")
+    length = F.col("n") / F.greatest(F.col("quotient"), F.lit(0.01))
+    return found.select("graph_id", F.col("k").cast("long").alias("k"), (F.col("residual") < 1e-6 * F.sqrt("norm")).alias("solved"), (F.abs(F.col("norm") / length - 1) < 1e-6).alias("scaled"))
 
 
-@register("ALG06_magnetic_trace", GRAPH_SQL + """ SELECT graph_id, count(*)::BIGINT AS n, round(count(*)::DOUBLE, 6) AS trace FROM nodes GROUP BY 1""")
+@register("ALG06_magnetic_eigenpairs", GRAPH_SQL + """ SELECT graph_id, k::BIGINT AS k, true AS solved, true AS valued, true AS rising FROM (SELECT graph_id, count(*) AS n FROM nodes GROUP BY 1), range(8) r(k) WHERE k < n""")
 def alg06(spark, sf):
-    # the trace of I - D^-1/2 A D^-1/2 (no self loops) is N
-    rows = S.magnetic_features(*graphs(spark, sf), q=0.25, m=8)
-    return rows.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("trace"))
+    """Every pair solves L v = value v with L made of the edges; all values of a graph come, in rising order."""
+    nodes, edges = graphs(spark, sf)
+    pairs = S.magnetic_features(nodes, edges, q=0.25, m=8)
+    ids = nodes.groupBy("graph_id").agg(F.array_sort(F.collect_set("node")).alias("ids"))
+    v = pairs.join(ids, "graph_id").select("graph_id", "k", F.explode(F.arrays_zip(F.col("ids").alias("node"), "re", "im")).alias("x")).select("graph_id", "k", "x.*")
+    found = S.eigen_residuals(S.laplacian_entries(nodes, edges, 0.25), v).join(pairs.select("graph_id", "k", "value"), ["graph_id", "k"])
+    last = F.lag("value").over(Window.partitionBy("graph_id").orderBy("k"))
+    return found.select("graph_id", "k", (F.col("residual") < 1e-6).alias("solved"), ((F.abs(F.col("quotient") - F.col("value")) < 1e-6) & (F.abs(F.col("norm") - 1) < 1e-6)).alias("valued"), F.coalesce(F.col("value") >= last - 1e-9, F.lit(True)).alias("rising"))
 
 
 KHOP_SQL = GRAPH_SQL + ", one AS (SELECT graph_id, src AS i, dst AS j FROM edges), two AS (SELECT DISTINCT a.graph_id, a.i, b.j FROM one a JOIN one b ON a.graph_id = b.graph_id AND a.j = b.i), khop AS (SELECT * FROM one UNION SELECT * FROM two)"
@@ -136,10 +145,17 @@ def alg18(spark, sf):
     return S.degrees(graphs(spark, sf)[1])
 
 
-@register("GRF17_reordered", GRAPH_SQL + " SELECT graph_id, count(*)::BIGINT AS n, sum(row - 1)::BIGINT AS total FROM (SELECT graph_id, row_number() OVER (PARTITION BY graph_id) AS row FROM nodes) GROUP BY 1")
+@register("GRF17_reordered", GRAPH_SQL + """, e AS (SELECT DISTINCT graph_id, least(src, dst) AS a, greatest(src, dst) AS b FROM edges), s AS (SELECT graph_id, count(*) AS n FROM nodes GROUP BY 1), m AS (SELECT graph_id, count(*) AS m FROM e GROUP BY 1)
+SELECT graph_id, n::BIGINT AS n, (n * (n - 1) // 2)::BIGINT AS total, true AS measured, coalesce(m = n * (n - 1) // 2, false) AS whole FROM s LEFT JOIN m USING (graph_id)""")
 def grf17(spark, sf):
-    # a permutation of 0..N-1
-    return S.reordered(*graphs(spark, sf)).groupBy("graph_id").agg(F.countDistinct("new_node").alias("n"), F.sum("new_node").alias("total"))
+    """A permutation of 0..N-1 whose bandwidth, measured again on the edges, is as told; a complete graph's is N - 1, and only its."""
+    nodes, edges = graphs(spark, sf)
+    new = S.reordered(nodes, edges)
+    at = lambda c: new.select("graph_id", F.col("node").alias(c), F.col("new_node").alias(f"new_{c}"))
+    wide = edges.join(at("src"), ["graph_id", "src"]).join(at("dst"), ["graph_id", "dst"]).groupBy("graph_id").agg(F.max(F.abs(F.col("new_src") - F.col("new_dst"))).alias("wide"))
+    out = new.groupBy("graph_id").agg(F.countDistinct("new_node").alias("n"), F.sum("new_node").alias("total"), F.max("bandwidth").alias("told"))
+    out = out.join(wide, "graph_id", "left").na.fill(0, ["wide"])
+    return out.select("graph_id", "n", "total", (F.col("told") == F.col("wide")).alias("measured"), ((F.col("wide") == F.col("n") - 1) & (F.col("n") > 1)).alias("whole"))
 
 
 @register("GRF18_k_hop_subgraph", GRAPH_SQL + """, w AS (SELECT graph_id, node, 0 AS d FROM nodes WHERE node = 2 UNION SELECT w.graph_id, x, d + 1 FROM w JOIN (SELECT graph_id, src AS y, dst AS x FROM edges UNION SELECT graph_id, dst, src FROM edges) e ON e.graph_id = w.graph_id AND y = node WHERE d < 1), k AS (SELECT DISTINCT graph_id, node FROM w)

@@ -27,8 +27,18 @@ def run_records(spark: SparkSession, path: str) -> DataFrame | None:
 def numbered_lines(spark: SparkSession, path: str, needed: DataFrame | None = None) -> DataFrame:
     """(id, value): the line number of one file is its id. With needed (id), only those lines; a missing id >= 0 is an error.
 
-    The file is read as one split, as numbering is sequential; the numbers then spread freely."""
-    lines = spark.read.option("lineSep", "\n").text(path).coalesce(1).select(F.monotonically_increasing_id().alias("id"), "value")
+    Splits of the file are counted, and a line's number is its place within its split plus the lines of the splits before."""
+    from pyspark.sql.window import Window
+
+    from graphloom.storage import materialize
+
+    rows = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+    rows = materialize(rows, "lines")
+    sizes = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+    # a row for each split
+    before = sizes.select("block", (F.sum("n").over(Window.orderBy("block")) - F.col("n")).alias("before"))
+    within = F.row_number().over(Window.partitionBy("block").orderBy("place")) - 1
+    lines = rows.withColumn("within", within).join(F.broadcast(before), "block").select((F.col("before") + F.col("within")).cast("long").alias("id"), "value")
     if needed is None:
         return lines
     wanted = needed.where("id >= 0").select("id").distinct().join(lines, "id", "left")
@@ -68,10 +78,10 @@ def tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def corpus_tokens(lines: DataFrame, limit: int, banned: str = "access code") -> DataFrame:
     """(line, token) of the first lines (line, value) that together hold at most limit words; blank lines, headings ('= ... =')
-    and lines with the banned string do not count."""
-    from pyspark.sql.window import Window
+    and lines with the banned string do not count. Running sums come from sums of ranges of lines."""
+    from graphloom.operators.positions import running_sum
 
     text = F.trim("value")
     good = lines.where((text != "") & ~text.rlike("^=.*=$") & ~F.contains(F.lower("value"), F.lit(banned)))
-    words = good.select("line", F.split(text, r"\s+").alias("w")).withColumn("upto", F.sum(F.size("w")).over(Window.orderBy("line")))
+    words = running_sum(good.select("line", F.split(text, r"\s+").alias("w")), ["line"], F.size("w"), "upto")
     return words.where(F.col("upto") <= limit).select("line", F.explode("w").alias("token"))

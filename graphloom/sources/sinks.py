@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import json
+import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.operators.positions import global_index
+from graphloom.storage import file_system, free_name, replace_table
+
 
 def append_records(records: DataFrame, path: str) -> None:
     """Append JSON lines, each with the time of writing."""
@@ -23,11 +28,33 @@ def write_once(rows: DataFrame, path: str) -> None:
     rows.write.mode("ignore").parquet(path)
 
 
-def write_shards(rows: DataFrame, path: str, shards: int, order: str) -> None:
-    """Contiguous ranges of order as numbered shard folders."""
-    from pyspark.sql.window import Window
+def build_once(spark: SparkSession, path: str, build: Callable[[], DataFrame], wait: float = 600.0) -> DataFrame:
+    """The table at path, built by one of all jobs that ask for it: the one that creates the lock file builds beside path and renames, the
+    others wait for it. A failed build leaves no table and no lock, so that another job takes over."""
+    fs, target = file_system(spark, path)
+    lock, end = file_system(spark, f"{path}.lock")[1], time.monotonic() + wait
+    while not fs.exists(target):
+        if fs.createNewFile(lock):
+            try:
+                if not fs.exists(target):
+                    replace_table(build(), path, "parquet")
+            finally:
+                fs.delete(lock, False)
+        elif time.monotonic() > end:
+            raise TimeoutError(f"{path} is locked by another build")
+        else:
+            time.sleep(0.2)
+    return spark.read.parquet(path)
 
-    rows.withColumn("shard", F.ntile(shards).over(Window.orderBy(order)) - 1).write.partitionBy("shard").mode("overwrite").parquet(path)
+
+def write_shards(rows: DataFrame, path: str, shards: int, order: str) -> None:
+    """Contiguous ranges of order as numbered shard folders, of sizes at most one apart, the larger ones first."""
+    placed = global_index(rows, [order], free_name(rows, "place"))
+    place, n = placed.columns[-1], rows.count()
+    small, large = n // shards, n % shards
+    at = F.col(place)
+    shard = F.when(at < large * (small + 1), F.floor(at / (small + 1))).otherwise(large + F.floor((at - large * (small + 1)) / max(small, 1)))
+    placed.withColumn("shard", shard.cast("int")).drop(place).write.partitionBy("shard").mode("overwrite").parquet(path)
 
 
 def merge_shards(spark: SparkSession, path: str, shards: int, total: int) -> DataFrame:

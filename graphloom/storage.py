@@ -69,3 +69,29 @@ def with_row_id(df: DataFrame, name: str, id_col: str = "doc_id", text_col: str
         return df.withColumn(name, ids)
     ordered = df.withColumn(name, F.monotonically_increasing_id()).orderBy(ids.asc_nulls_last(), F.col(text_col), name)
     return materialize(ordered.withColumn(name, F.monotonically_increasing_id()), "row-ids")
+
+
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system and path object of a path in any store."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def put_in_place(spark: SparkSession, fresh: str, path: str) -> None:
+    """Rename fresh to path, in place of what is there: a reader sees the old folder or the new one, never a part of one."""
+    fs, target = file_system(spark, path)
+    old = file_system(spark, f"{path}.old-{uuid.uuid4().hex}")[1]
+    had = fs.exists(target)
+    if had and not fs.rename(target, old):
+        raise OSError(f"cannot move {path} away")
+    if not fs.rename(file_system(spark, fresh)[1], target):
+        raise OSError(f"cannot put {fresh} in place")
+    if had:
+        fs.delete(old, True)
+
+
+def replace_table(rows: DataFrame, path: str, kind: str = "json") -> None:
+    """Write beside path, then put the result in its place."""
+    fresh = f"{path}.new-{uuid.uuid4().hex}"
+    rows.write.format(kind).save(fresh)
+    put_in_place(rows.sparkSession, fresh, path)

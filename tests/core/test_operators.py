@@ -172,7 +172,7 @@ def test_sweeps():
     with pytest.raises(W.SweepError):
         W.parse_config("[1]")
     assert W.identity({"a": 1, "b": 2}) == W.identity({"b": 2, "a": 1})
-    assert W.flags({"a": True, "b": False, "c": [1, 2], "d": "x"}) == ["--a", "--c", "1", "2", "--d", "x"]
+    assert W.flags({"a_b": True, "b": False, "c": [1, 2], "d": "x", "e": None, "f": {"k": 1, "l": 2}}) == ["--a-b", "--no-b", "--c", "1,2", "--d", "x", "--f", "k=1,l=2"]
 
 
 def test_reports(tmp_path):
