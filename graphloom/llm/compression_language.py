@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from graphloom.llm import kernels as K
 
@@ -46,13 +45,26 @@ def learn_dictionaries(labelled: DataFrame, label_col: str = "lang", text_col: s
     there is no dictionary.
     """
     rows = labelled.select(F.col(label_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    names = rows.select("lang", F.xxhash64("text").alias("mark")).distinct()
-    picked = names.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("mark"))).where(F.col("rank") <= docs_per_language).select("lang", "mark")
-    sample = rows.withColumn("mark", F.xxhash64("text")).join(picked, ["lang", "mark"]).groupBy("lang", "mark").agg(F.min(F.substring("text", 1, chars_per_doc)).alias("text"))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("mark", F.xxhash64("text"))
+    # hashes are spread evenly, so those below a share of their range are about that share of the texts: only these leave the scan
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("mark").alias("n")).collect()}
+    wanted = 2 * docs_per_language + 64
+    picked: dict[str, list] = {}
+    while todo := [lang for lang in sizes if lang not in picked]:
+        least = {lang: -(2**63) + min(2**64 - 1, 2**64 * wanted // max(sizes[lang], 1)) for lang in todo}
+        limit = F.element_at(F.create_map(*(F.lit(x) for pair in least.items() for x in pair)), F.col("lang"))
+        near = rows.where(F.coalesce(F.col("mark") <= limit, F.lit(False))).groupBy("lang", "mark").agg(F.min(F.substring("text", 1, chars_per_doc)).alias("text"))
+        found: dict[str, list] = {}
+        for row in near.collect():
+            found.setdefault(row["lang"], []).append((row["mark"], row["text"]))
+        for lang in todo:
+            own = sorted(found.get(lang, []))[:docs_per_language]
+            if len(own) == docs_per_language or least[lang] == 2**63 - 1:
+                picked[lang] = own
+        wanted *= 8
     parts: dict[str, list[str]] = {}
-    for row in sorted(sample.collect(), key=lambda r: (r["lang"], r["mark"])):
-        parts.setdefault(row["lang"], []).append(normalise(row["text"]))
+    for lang in sorted(picked):
+        parts[lang] = [normalise(text) for _, text in picked[lang]]
     halves = [_coders({lang: "\n".join(texts[i::2]).encode() for lang, texts in parts.items() if texts[i::2]}, level) for i in (0, 1)]
     out = {}
     for lang, texts in parts.items():
@@ -107,9 +119,8 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
         import pyarrow as pa
 
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in K.blocks([len(t or "") for t in texts], 1 << 23):
-                lang, score, margin, rejected = zip(*_judge(texts[a:b], dictionaries, min_margin, level), strict=True)
+            for a, b in K.spans(batch.column(1), 1 << 21):
+                lang, score, margin, rejected = zip(*_judge(batch.column(1).slice(a, b - a).to_pylist(), dictionaries, min_margin, level), strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "lang_pred", "score", "margin", "rejected"])
 
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -122,14 +133,17 @@ def held_out(id_column):
 
 
 def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", min_margin: float = 0.0005, level: int = 6) -> DataFrame:
-    """docs, all columns as they are, without the rows that classify() rejects. Rows do not move between partitions."""
+    """docs, all columns as they are and of any name, without the rows that classify() rejects: null texts and those without a letter among
+    them. Each row is judged by its own text; rows do not move between partitions. An empty table gives an empty one."""
     place = docs.columns.index(text_col)
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            judged = _judge(batch.column(place).to_pylist(), dictionaries, min_margin, level)
-            yield batch.filter(pa.array([not rejected for *_, rejected in judged], pa.bool_()))
+            for a, b in K.spans(batch.column(place), 1 << 21):
+                part = batch.slice(a, b - a)
+                judged = _judge(part.column(place).to_pylist(), dictionaries, min_margin, level)
+                yield part.filter(pa.array([not rejected for *_, rejected in judged], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -109,12 +109,15 @@ def as_bytes(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def text_blocks(column, limit: int) -> Iterator[tuple[int, int, list[bytes]]]:
-    """Consecutive rows a:b of an Arrow string column with their UTF-8 bytes, at most limit bytes or one row at a time."""
+def spans(column, limit: int) -> Iterator[tuple[int, int]]:
+    """Consecutive rows a:b of an Arrow string column, at most limit bytes or one row at a time."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    data = column.cast(pa.binary())
-    sizes = pc.fill_null(pc.binary_length(data), 0).to_pylist()
-    for a, b in blocks(sizes, limit):
-        yield a, b, [x or b"" for x in data.slice(a, b - a).to_pylist()]
+    yield from blocks(pc.fill_null(pc.binary_length(column.cast(pa.binary())), 0).to_pylist(), limit)
+
+
+def text_blocks(column, limit: int) -> Iterator[tuple[int, int, list[bytes]]]:
+    """spans() with the rows' UTF-8 bytes; null counts as empty."""
+    for a, b in spans(column, limit):
+        yield a, b, as_bytes(column.slice(a, b - a))

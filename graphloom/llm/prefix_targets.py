@@ -75,8 +75,10 @@ def render_examples(segments: DataFrame, examples: DataFrame) -> DataFrame:
 
 def read_back(segments: DataFrame, examples: DataFrame) -> DataFrame:
     """Per conversation, parsed from the formatted text: n_turns, turns_sha256 (role, line feed, text, line feed), loss_chars and
-    loss_sha256 of all text under the loss spans (unescaped), n_examples, formatted_chars. A conversation passes one task
-    as a stream of turns, whatever its length: its digests are sequential by definition."""
+    loss_sha256 of all text under the loss spans (unescaped), n_examples, formatted_chars. An example is read as what it is: its context,
+    the text up to context_end, must end where its reply's turn begins and hold target_pos turns, all parsed before, and the loss span
+    must lie within that turn. A conversation passes one task as a stream of turns, whatever its length: its digests are sequential
+    by definition."""
 
     def run(batches):
         import pyarrow as pa
@@ -93,7 +95,7 @@ def read_back(segments: DataFrame, examples: DataFrame) -> DataFrame:
 
         for batch in batches:
             rows = []
-            for c, formatted, start, a, b in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for c, formatted, start, example, context_end, target_pos, a, b in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if state is None or c != conv:
                     if state is not None:
                         rows.append(row())
@@ -104,7 +106,9 @@ def read_back(segments: DataFrame, examples: DataFrame) -> DataFrame:
                 state[0] += 1
                 state[1].update(f"{role}\n{text}\n".encode())
                 state[5] += len(formatted)
-                if a is not None:
+                if example is not None:
+                    if (example, target_pos, context_end) != (state[4], state[0] - 1, start) or not start <= a <= b <= state[5]:
+                        raise ValueError("an example does not fit its conversation")
                     reply = unescape(formatted[a - start : b - start])
                     state[2] += len(reply)
                     state[3].update(reply.encode())
@@ -115,7 +119,8 @@ def read_back(segments: DataFrame, examples: DataFrame) -> DataFrame:
             yield batch_of([row()])
 
     tasks = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spans = examples.select(F.col("conv_id").alias("c"), F.col("target_pos"), F.col("loss_start").alias("a"), F.col("loss_end").alias("b"))
-    rows = segments.join(spans, F.expr("c <=> conv_id and target_pos = pos"), "left").select("conv_id", "pos", "formatted", "start", "a", "b")
-    rows = rows.repartition(tasks, "conv_id").sortWithinPartitions("conv_id", "pos").select("conv_id", "formatted", "start", "a", "b")
+    wanted = ["example", "context_end", "target_pos", "loss_start", "loss_end"]
+    told = examples.select(F.col("conv_id").alias("c"), *wanted)
+    rows = segments.drop("loss_start", "loss_end").join(told, F.expr("c <=> conv_id and target_pos = pos"), "left").select("conv_id", "pos", "formatted", "start", *wanted)
+    rows = rows.repartition(tasks, "conv_id").sortWithinPartitions("conv_id", "pos").select("conv_id", "formatted", "start", *wanted)
     return rows.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, n_examples long, formatted_chars long")

@@ -146,6 +146,9 @@ def test_chat_round_trip(spark):
     one = shown[1, 1]
     assert one.context.count("<turn ") == 3 and P.parse_segment(one.target) == ("assistant", "")
     assert P.read_back(*(x.where("false") for x in (segments, examples))).collect() == []
+    for change in ({"context_end": F.col("context_end") + 1}, {"example": F.col("example") + 1}, {"loss_end": F.col("loss_end") + 50}):
+        with pytest.raises(Exception, match="does not fit"):
+            P.read_back(segments, examples.withColumns(change)).collect()
 
 
 def test_bpe_matches_the_library(spark):
