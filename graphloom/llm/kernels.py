@@ -121,3 +121,47 @@ def text_blocks(column, limit: int) -> Iterator[tuple[int, int, list[bytes]]]:
     """spans() with the rows' UTF-8 bytes; null counts as empty."""
     for a, b in spans(column, limit):
         yield a, b, as_bytes(column.slice(a, b - a))
+
+
+def packed(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """Pieces of buf as rows of 64-bit numbers, eight bytes in each, with zeros behind: rows are equal where pieces of bytes that are
+    not zero are. There are as many columns as the longest piece needs."""
+    width = int(sizes.max(initial=1))
+    eight = np.ndarray((len(buf) + 1,), "<u8", np.concatenate((buf, np.zeros(8 + width, np.uint8))), 0, (1,))
+    columns = []
+    for skip in range(0, width, 8):
+        left = np.clip(sizes - skip, 0, 8).astype(U)
+        mask = np.where(left > 0, U(2**64 - 1) >> (U(64) - U(8) * np.maximum(left, U(1))), U(0))
+        columns.append(eight[np.minimum(starts + skip, len(buf))] & mask)
+    return columns
+
+
+def equal_rows(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(first row of each class of equal rows, class of every row), by a table of row numbers in place of a sort."""
+    n = len(columns[0])
+    h = columns[0]
+    for c in columns[1:]:
+        h = mix(h) + c
+    h = mix(h)
+    bits = max(10, int(n).bit_length() + 1)
+    table = np.empty(1 << bits, np.int32)
+    head, todo, turn = np.empty(n, np.int32), np.arange(n, dtype=np.int32), 0
+    while len(todo):
+        at = ((h[todo] >> np.uint64(64 - bits)) if not turn else mix(h[todo] + np.uint64(turn)) >> np.uint64(64 - bits)).astype(np.int64)
+        table[at[::-1]] = todo[::-1]
+        found = table[at]
+        same = np.ones(len(todo), bool)
+        for c in columns:
+            same &= c[found] == c[todo]
+        head[todo[same]] = found[same]
+        todo, turn = todo[~same], turn + 1
+    lead = np.flatnonzero(head == np.arange(n))
+    number = np.empty(n, np.int32)
+    number[lead] = np.arange(len(lead), dtype=np.int32)
+    return lead, number[head]
+
+
+def ragged(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Indices of runs that begin at first and have sizes, end to end."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(first - before, sizes) + np.arange(int(sizes.sum()))

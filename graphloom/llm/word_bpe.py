@@ -35,31 +35,6 @@ def _kinds() -> np.ndarray:
     return out
 
 
-def _equal(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(first row of each class of equal rows, class of every row), by a table of row numbers in place of a sort."""
-    n = len(columns[0])
-    h = columns[0]
-    for c in columns[1:]:
-        h = K.mix(h) + c
-    h = K.mix(h)
-    bits = max(10, int(n).bit_length() + 1)
-    table = np.empty(1 << bits, np.int32)
-    head, todo, turn = np.empty(n, np.int32), np.arange(n, dtype=np.int32), 0
-    while len(todo):
-        at = ((h[todo] >> np.uint64(64 - bits)) if not turn else K.mix(h[todo] + np.uint64(turn)) >> np.uint64(64 - bits)).astype(np.int64)
-        table[at[::-1]] = todo[::-1]
-        found = table[at]
-        same = np.ones(len(todo), bool)
-        for c in columns:
-            same &= c[found] == c[todo]
-        head[todo[same]] = found[same]
-        todo, turn = todo[~same], turn + 1
-    lead = np.flatnonzero(head == np.arange(n))
-    number = np.empty(n, np.int32)
-    number[lead] = np.arange(len(lead), dtype=np.int32)
-    return lead, number[head]
-
-
 class PairTable:
     """Rank and product of token pairs: open addressing over (left << 16 | right)."""
 
@@ -166,14 +141,8 @@ class WordBpe:
             known += len(names)
         at = np.flatnonzero(short)
         if len(at):
-            windows = np.ndarray((len(low) + 1,), "<u8", np.concatenate((low, np.zeros(8 + LONGEST, np.uint8))), 0, (1,))
-            columns, s, n = [], starts[at], sizes[at].astype(np.uint64)
-            for skip in range(0, int(n.max()), 8):
-                left = np.minimum(np.maximum(n.astype(np.int64) - skip, 0), 8).astype(np.uint64)
-                mask = np.where(left > 0, np.uint64(2**64 - 1) >> (np.uint64(8) * (np.uint64(8) - np.maximum(left, np.uint64(1)))), np.uint64(0))
-                columns.append(windows[np.minimum(s + skip, len(low))] & mask)
-            lead, own = _equal(columns)
-            order = np.argsort(n[lead], kind="stable")
+            lead, own = K.equal_rows(K.packed(low, starts[at], sizes[at]))
+            order = np.argsort(sizes[at[lead]], kind="stable")
             place = np.empty(len(lead), np.int64)
             place[order] = np.arange(len(lead))
             code[at] = known + place[own]

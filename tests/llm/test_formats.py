@@ -185,3 +185,82 @@ def test_automaton_of_few_merges():
     for _ in range(300):
         word = bytes(rng.choice(list(b"abc"), rng.integers(1, 12)).tolist())
         assert auto.encode(word) == slow(word)
+
+
+def test_byte_pieces_match_the_library():
+    import random
+
+    rng = random.Random(5)
+    symbols = [*"abcdeghinorstuTHEING   \n\t éÉèßñ'<>|#.,:;!?0129½²  ́\x1c\x7f\x00\x85ªµ中ſKẞİΣσ🙂", "<|endoftext|>", "'s", "'LL", " the", "ing", "  ", "\n\n"]
+    texts = ["".join(rng.choices(symbols, k=rng.randint(0, 60))) for _ in range(4000)]
+    texts += ["a" * 200, "é" * 300, "=-" * 100, "", "\n", " " * 90, " " * 40 + "a", "x" * 33, "x" * 32, "<|endoftext|>", "\x00special<|endoftext|>"]
+    coder, library = A.load(BYTES, public_tokenizers.PATTERN), Tokenizer.from_file(BYTES)
+    ids, bounds = coder.encode(texts)
+    back = coder.decode(ids.astype(np.int64), bounds)
+    for text, a, b, data in zip(texts, bounds, bounds[1:], back):
+        assert ids[a:b].tolist() == library.encode(text, add_special_tokens=False).ids, text
+        assert data.decode() == text
+    assert coder.automaton.encode_words([])[0].tolist() == []
+
+
+def test_very_long_words_are_encoded_in_one_pass():
+    coder, library = A.load(BYTES, public_tokenizers.PATTERN), Tokenizer.from_file(BYTES)
+    texts = ["abc" * 20_000, "é中" * 9000, "a" * 70_000]
+    ids, bounds = coder.encode(texts)
+    for text, a, b in zip(texts, bounds, bounds[1:]):
+        assert ids[a:b].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_query_op10_against_the_library(spark):
+    from graphloom.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    coder = Tokenizer.from_file(BYTES)
+    text = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    out = queries.op10_bpe_automaton(spark, sf).collect()
+    assert len(out) == len(text)
+    for r in out:
+        ids = coder.encode(text[r.doc_id], add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(coder.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_query_op8_against_plain_python(spark):
+    from graphloom.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    text = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    out = queries.op8_media_chunks(spark, sf).collect()
+    assert len(out) == len(text)
+    for r in out:
+        data = text[r.doc_id]
+        payload = data + b"\xff" * (-len(data) % 576 if data else 576)
+        media = b"SMP8" + struct.pack("<QI", len(payload), 576) + payload
+        samples = list(payload)
+        mean = sum(samples) / len(samples)
+        spread = (sum((x - mean) ** 2 for x in samples) / len(samples)) ** 0.5
+        hist = ",".join(str(sum(x >> 5 == k for x in samples) * 1000 // len(samples)) for k in range(8))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        assert r.feature == f"mean={mean:.3f};std={spread:.3f};hist={hist}"
+
+
+def test_query_op5_against_the_library_and_the_rule(spark):
+    from graphloom.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    coder = Tokenizer.from_file(WORDS)
+    want = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        ids = [*coder.encode(r.text or "", add_special_tokens=False).ids, 0]
+        want |= {(r.doc_id, k): (s, len(ids[s : s + 2048]), zlib.crc32(np.array(ids[s : s + 2048], "<u4").tobytes())) for k, s in enumerate(range(0, len(ids), 2048))}
+    out = queries.op5_best_fit_packing(spark, sf).toPandas()
+    got = {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in out.itertuples()}
+    assert got == want and len(out) == len(want)
+    out = out.sort_values(["sequence_id", "offset"])
+    ends = out.groupby("sequence_id")["length"].cumsum()
+    assert (ends - out["length"] == out["offset"]).all() and ends.max() <= 2048
+    bins, fewest = B.SumOfSquares(2048), set()
+    for size in sorted((n for _, n, _ in want.values() if n < 2048), reverse=True):
+        fewest.add(bins.place(size)[0])
+    assert out["sequence_id"].nunique() == len(fewest) + sum(n == 2048 for _, n, _ in want.values())

@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from graphloom.llm import best_fit_packing as B
+from graphloom.llm import kernels as K
 from graphloom.llm import word_bpe as W
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -37,7 +38,7 @@ def test_any_text_matches_the_library(texts):
 def test_equal_rows_are_told_by_content():
     rng = np.random.default_rng(2)
     rows = rng.integers(0, 9, (5000, 2)).astype(np.uint64)
-    lead, number = W._equal([rows[:, 0], rows[:, 1]])
+    lead, number = K.equal_rows([rows[:, 0], rows[:, 1]])
     seen = {}
     want = [seen.setdefault(tuple(r), i) for i, r in enumerate(rows.tolist())]
     assert lead[number].tolist() == want
