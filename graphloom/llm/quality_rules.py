@@ -36,21 +36,17 @@ def _text_measures(docs: DataFrame) -> DataFrame:
         "grams": F.when(F.size("words") >= 3, F.transform(F.sequence(F.lit(0), F.size("words") - 3), lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)))).otherwise(F.array().cast("array<bigint>")),
         "marks": F.transform("lines", lambda x: F.struct(F.xxhash64(normalised(x)).alias("mark"), F.length(x).alias("chars"))),
     }).drop("words", "lines")
-    # (hash, position) in one long, so that equal windows meet when sorted; the whole hashes are compared then
-    docs = docs.withColumn("bits", F.length(F.bin(F.size("grams"))))
-    docs = docs.withColumn("ranked", F.sort_array(F.transform("grams", lambda h, i: h.bitwiseAND(-F.pow(F.lit(2.0), F.col("bits")).cast("long")).bitwiseOR(i.cast("long")))))
+    # equal windows meet when (hash, position) is sorted
+    docs = docs.withColumn("ranked", F.sort_array(F.transform("grams", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
 
-    def place(x: Column) -> Column:
-        return x.bitwiseAND(F.pow(F.lit(2.0), F.col("bits")).cast("long") - 1).cast("int")
+    def same(x: Column, k: Column) -> Column:
+        return F.coalesce(x["h"] == F.get("ranked", k)["h"], F.lit(False))
 
-    def same(x: Column, y: Column) -> Column:
-        return F.coalesce(F.get("grams", place(x)) == F.get("grams", place(y)), F.lit(False))
-
-    twice = F.transform("ranked", lambda x, k: F.when(same(x, F.get("ranked", k - 1)) | same(x, F.get("ranked", k + 1)), place(x)).otherwise(F.lit(-1)))
+    twice = F.transform("ranked", lambda x, k: F.when(same(x, k - 1) | same(x, k + 1), x["i"]).otherwise(F.lit(-1)))
     docs = docs.withColumn("starts", F.sort_array(F.filter(twice, lambda x: x >= 0)))
     zero = F.struct(F.lit(-3).alias("last"), F.lit(0).alias("covered"))
     covered = F.aggregate("starts", zero, lambda acc, x: F.struct(x.alias("last"), (acc["covered"] + F.least(F.lit(3), x - acc["last"])).alias("covered")), lambda acc: acc["covered"])
-    return docs.withColumn("n_repeat_words", covered.cast("long")).drop("grams", "bits", "ranked", "starts")
+    return docs.withColumn("n_repeat_words", covered.cast("long")).drop("grams", "ranked", "starts")
 
 
 def _verdicts(measured: DataFrame, min_words: int, max_repeat_percent: int, min_docs: int, max_share: float, max_depletion: float) -> DataFrame:

@@ -16,6 +16,9 @@ from graphloom.storage import materialize
 
 #: Bundles of light groups for each shard; a group of at least 1 / (GRAIN * shards) of any total is an item of its own.
 GRAIN = 512
+#: With more shards there are fewer bundles for each, 8 at least, so that about this many units, and tables of a few times as many short
+#: rows, are packed on the driver and broadcast. It bounds shards at SHARDS.
+UNITS, SHARDS = 1 << 18, 1 << 15
 
 
 def dot_product_packing(vectors: np.ndarray, shards: int) -> np.ndarray:
@@ -44,6 +47,9 @@ def vector_sharding(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
     rows as near as the groups allow. Null and repeated ids are placed like any other row; other columns are ignored; an
     empty table gives an empty result.
     """
+    if not 0 < shards <= SHARDS:
+        raise ValueError(f"shards must be from 1 to {SHARDS}; shard the shards for more")
+    grain = max(8, min(grain, UNITS // shards))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     base = base.select("doc_id", (F.octet_length("text") + 1).cast("long").alias("size"), F.size(words_of(F.col("text"))).cast("long").alias("tokens"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"), F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(7), "text").alias("k2"), F.monotonically_increasing_id().alias("row"))

@@ -79,6 +79,51 @@ def test_dot_product_packing_balances():
     assert sums[:, 0].max() / sums[:, 0].min() < 1.01
 
 
+def test_dot_product_packing_is_the_rule():
+    rng = np.random.default_rng(9)
+    for shards in (2, 5):
+        vectors = rng.integers(1, 50, (80, 3)).astype(float)
+        share = [[x / t for x, t in zip(v, vectors.sum(0))] for v in vectors.tolist()]
+        room = [[1 / shards] * 3 for _ in range(shards)]
+        want = {}
+        for i in sorted(range(80), key=lambda i: (-max(share[i]), -share[i][0], i)):
+            able = [s for s in range(shards) if room[s][0] >= share[i][0] - 1e-12]
+            score = lambda s: sum(a * b for a, b in zip(room[s], share[i])) if able else room[s][0]  # noqa: B023, E731
+            best = max(score(s) for s in able or range(shards))
+            want[i] = min(s for s in able or range(shards) if abs(score(s) - best) < 1e-15)
+            room[want[i]] = [a - b for a, b in zip(room[want[i]], share[i])]
+        assert V.dot_product_packing(vectors, shards).tolist() == [want[i] for i in range(80)]
+
+
+def test_query_op4_against_plain_python(spark):
+    from graphloom.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    text = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    out = queries.op4_vector_sharding(spark, sf).collect()
+    assert len(out) == len(text) and {r.law for r in out} == {"bytes"} and {r.shard for r in out} <= set(range(8))
+    for r in out:
+        data = text[r.doc_id].encode()
+        assert (r.size, r.text_crc32, r.grown_shard) == (len(data) + 1, zlib.crc32(data), None)
+    sizes, homes = collections.Counter(), collections.defaultdict(set)
+    for r in out:
+        sizes[r.shard] += r.size
+        homes[text[r.doc_id]].add(r.shard)
+    assert max(sizes.values()) - min(sizes.values()) <= max(r.size for r in out) and all(len(h) == 1 for h in homes.values())
+    for shard in range(8):
+        slots = sorted(r.slot for r in out if r.shard == shard)
+        assert slots == list(range(len(slots)))
+
+
+def test_repeats_in_long_texts(spark):
+    """Windows are told by their whole hashes, however many there are."""
+    words = [f"w{i}" for i in range(60_000)]
+    words[50_000:50_003] = words[10:13]
+    rows = [(1, " ".join(words), None, "h", 0), (2, "a b c " * 20_000, None, "h", 0), (3, "x" * 2_000_000, None, "h", 0)]
+    got = {r.doc_id: (r.n_words, r.n_repeat_words) for r in Q.quality_rules(frame(spark, rows)).collect()}
+    assert got == {1: (60_000, 6), 2: (60_000, 60_000), 3: (1, 0)}
+
+
 def test_language_by_compression(spark):
     import random
 
