@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,16 +93,17 @@ def budgeted_triples(ranked: DataFrame, max_nodes: int) -> DataFrame:
     sequential; questions are independent."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank")
-        ents: set = set()
-        kept = []
-        every = len(set(pdf["h"]) | set(pdf["t"])) + len(pdf) + 1 <= max_nodes
-        for row in pdf.itertuples():
-            new = {row.h, row.t} | ents
-            if every or len(new) + len(kept) + 2 <= max_nodes:
-                ents = new
-                kept.append(row.Index)
-        return pdf.loc[kept, ["qid", "rank", "h", "t"]]
+        pdf = pdf.sort_values("rank").reset_index(drop=True)
+        ends = np.unique(pdf[["h", "t"]].to_numpy(str).ravel(), return_inverse=True)[1].reshape(-1, 2)
+        there, used = np.zeros(int(ends.max(initial=-1)) + 1, bool), 1  # the prompt takes a place
+        take = np.ones(len(pdf), bool)
+        if len(there) + len(pdf) + 1 > max_nodes:
+            for i, pair in enumerate(ends):
+                cost = 1 + int((~there[np.unique(pair)]).sum())  # the relation, and ends that are new
+                take[i] = used + cost <= max_nodes
+                if take[i]:
+                    there[pair], used = True, used + cost
+        return pdf.loc[take, ["qid", "rank", "h", "t"]]
 
     return ranked.select("qid", "rank", "h", "t").groupBy("qid").applyInPandas(run, f"qid {dict(ranked.dtypes)['qid']}, rank long, h string, t string")
 

@@ -213,10 +213,22 @@ def l2_distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, v: s + v))
 
 
+#: Bytes of queries that are broadcast at most.
+QUERY_BYTES = 32 << 20
+
+
 def pairwise_l2(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """(q, id, dist): distances of a stated, bounded query set (id, v) to all vectors (id, v); the queries are broadcast."""
+    """(q, id, dist): distances of a stated query set (id, v) to all vectors (id, v). Queries are counted first: up to QUERY_BYTES they are
+    broadcast; beyond, they go in blocks of that size, and each vector meets every block by an equi-join."""
     q = queries.select(F.col("id").alias("q"), F.col("v").alias("w"))
-    return vectors.crossJoin(F.broadcast(q)).select("q", "id", l2_distance(F.col("v"), F.col("w")).alias("dist"))
+    facts = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("w")).alias("width")).first()
+    blocks = -(-facts["n"] * (16 + 8 * (facts["width"] or 0)) // QUERY_BYTES)
+    if blocks <= 1:
+        pairs = vectors.crossJoin(F.broadcast(q))
+    else:
+        cut = q.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)))
+        pairs = vectors.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(cut, "block")
+    return pairs.select("q", "id", l2_distance(F.col("v"), F.col("w")).alias("dist"))
 
 
 def distance_bias(paths: DataFrame, weights: list[float]) -> DataFrame:

@@ -47,8 +47,9 @@ class TextGraphs:
         return replace(self, graphs=self.graphs.withColumn("ds_label", F.lit(label)))
 
     def pick_version(self, epoch: int) -> DataFrame:
-        """One version of each item, by a hash of item and epoch."""
-        return self.graphs.where(F.col("version") == F.pmod(F.xxhash64("graph_id", F.lit(epoch)), F.lit(self.versions)))
+        """One version of each item, by the SHA-256 of item and epoch."""
+        mark = F.sha2(F.concat_ws(":", F.col("graph_id").cast("string"), F.lit(str(epoch))), 256)
+        return self.graphs.where(F.col("version") == F.conv(F.substring(mark, 1, 8), 16, 10).cast("long") % self.versions)
 
     def relabel(self) -> TextGraphs:
         """Number nodes 0..N-1 within each graph in order of their old names, kept as original_id."""

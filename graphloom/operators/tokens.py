@@ -57,6 +57,17 @@ def answer_labels(ids: Column, prefix: Column, policy: str) -> Column:
     return F.transform(ids, lambda x, i: F.when(i < end, F.lit(IGNORE)).otherwise(x))
 
 
+def prefix_labels(ids: Column, masked: int | Column) -> Column:
+    """ids with IGNORE in the first masked places. ids enters a few times, not once for each element."""
+    masked = F.least(F.lit(masked) if isinstance(masked, int) else masked, F.size(ids))
+    return F.concat(F.array_repeat(F.lit(IGNORE), masked), F.slice(ids, masked + 1, F.size(ids)))
+
+
+def last_token_labels(ids: Column) -> Column:
+    """ids with IGNORE everywhere but in the last place."""
+    return prefix_labels(ids, F.greatest(F.size(ids) - 1, F.lit(0)))
+
+
 def pad_right(ids: Column, length: Column, pad: int) -> Column:
     return F.concat(ids, F.array_repeat(F.lit(pad), F.greatest(length - F.size(ids), F.lit(0)).cast("int")))
 

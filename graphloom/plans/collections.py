@@ -24,7 +24,7 @@ def flt01(spark, sf):
     return G.TextGraphs(nodes.select("graph_id").distinct(), nodes, nodes.where("false").select("graph_id", F.col("node").alias("src"), F.col("node").alias("dst"))).select(long).nodes.select(F.col("graph_id").alias("conv_id"), F.col("node").alias("turn"))
 
 
-@register("FLT02_version_pick")
+@register("FLT02_version_pick", "SELECT DISTINCT conv_id AS graph_id, (('0x' || sha256(conv_id || ':1')[:8])::BIGINT % 3)::INT AS version FROM conversations")
 def flt02(spark, sf):
     graphs = table(spark, sf, "conversations", F.col("conv_id").alias("graph_id")).distinct().withColumn("version", F.explode(F.sequence(F.lit(0), F.lit(2))))
     return G.TextGraphs(graphs, graphs, graphs, versions=3).pick_version(1)
@@ -198,7 +198,11 @@ def top02(spark, sf):
     return K.bfs_order(t, region.unionByName(nation)).select("qid", "ord", "near", "rank")
 
 
-@register("TOP01_budgeted_triples")
+@register("TOP01_budgeted_triples", TRIPLES_SQL.replace("WITH t AS", "WITH RECURSIVE t AS", 1) + """, n AS (SELECT qid, (SELECT count(DISTINCT e) FROM (SELECT unnest([h, t]) AS e FROM t y WHERE y.qid = x.qid)) + count(*) + 1 <= 24 AS every FROM t x GROUP BY 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY ord) AS k FROM t),
+s AS (SELECT qid, 0::BIGINT AS k, CAST([] AS VARCHAR[]) AS ents, 0 AS kept, false AS took FROM n
+UNION ALL SELECT s.qid, r.k, CASE WHEN f THEN e ELSE ents END, kept + f::INT, f FROM s JOIN r ON r.qid = s.qid AND r.k = s.k + 1 JOIN n ON n.qid = s.qid, LATERAL (SELECT list_distinct(list_concat(ents, [h, r.t])) AS e) a, LATERAL (SELECT every OR len(e) + kept + 2 <= 24 AS f) b)
+SELECT r.qid, r.ord AS rank, r.h, r.t FROM s JOIN r ON r.qid = s.qid AND r.k = s.k WHERE took""")
 def top01(spark, sf):
     t = triples(spark, sf).withColumn("rank", F.col("ord"))
     return K.budgeted_triples(t, 24)
@@ -293,11 +297,13 @@ def win09(spark, sf):
     return P.token_rows(packed(spark, sf)).withColumn("label", F.when(F.col("node") == 1, 1).otherwise(P.IGNORE)).where(F.col("label") != P.IGNORE).groupBy("graph_id").agg(F.min("pos").alias("first"))
 
 
-@register("ARR02_answer_labels", "SELECT p_partkey AS k, p_size % 5 + 3 + 10 * 0 AS n_ignored FROM part WHERE false UNION ALL SELECT p_partkey, 4 FROM part")
+@register("ARR02_answer_labels", "SELECT p_partkey AS k, (3 * (p_size % 3) + 2)::INT AS last_ignored, 2::INT AS first_ignored, (p_size + 100)::BIGINT AS answer FROM part")
 def arr02(spark, sf):
-    ids = F.array(F.lit(7), F.lit(8), F.lit(7), F.lit(8), (F.col("p_size") + 100).cast("int"), F.lit(9))
-    labels = P.answer_labels(ids, F.array(F.lit(7), F.lit(8)), "last")
-    return table(spark, sf, "part", F.col("p_partkey").alias("k"), F.size(F.filter(labels, lambda x: x == P.IGNORE)).alias("n_ignored"))
+    # the answer prefix (7, 8) and an answer, one to three times
+    ids = F.flatten(F.array_repeat(F.array(F.lit(7), F.lit(8), (F.col("p_size") + 100).cast("int")), (F.col("p_size") % 3 + 1).cast("int")))
+    ignored = lambda labels: F.size(F.filter(labels, lambda x: x == P.IGNORE))
+    last, first = (P.answer_labels(ids, F.array(F.lit(7), F.lit(8)), p) for p in ("last", "first"))
+    return table(spark, sf, "part", F.col("p_partkey").alias("k"), ignored(last).alias("last_ignored"), ignored(first).alias("first_ignored"), F.element_at(last, -1).cast("long").alias("answer"))
 
 
 @register("ARR05_pad", "SELECT p_partkey AS k, '1,2,' || repeat('0,', (p_size % 4)::INT) || 'r' AS right, repeat('0,', (p_size % 4)::INT) || '1,2,l' AS left FROM part")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graphloom.functions import text as T
+from graphloom.operators import hooks as H
 from graphloom.operators import kg as K
 from graphloom.operators import relational as R
 from graphloom.operators import structure as S
@@ -87,7 +88,7 @@ def join23(spark, sf):
     return every.groupBy("task", "seed").agg(F.countDistinct("arm").alias("arms")).join(F.broadcast(n), F.col("arms") == F.col("n"), "left_semi")
 
 
-@register("AGG12_kgqa_means", "WITH a AS (SELECT o_custkey AS qid, c_mktsegment AS dataset, max((o_orderstatus = 'F')::INT) AS hit, arg_min((o_orderstatus = 'F')::INT, o_orderkey) AS hit1 FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2) SELECT dataset, count(*)::BIGINT AS n, round(avg(hit), 6) AS hit, round(avg(hit1), 6) AS hit1 FROM a GROUP BY 1")
+@register("AGG12_question_means", "WITH a AS (SELECT o_custkey AS qid, c_mktsegment AS dataset, max((o_orderstatus = 'F')::INT) AS hit, arg_min((o_orderstatus = 'F')::INT, o_orderkey) AS hit1 FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2) SELECT dataset, count(*)::BIGINT AS n, round(avg(hit), 6) AS hit, round(avg(hit1), 6) AS hit1 FROM a GROUP BY 1")
 def agg12(spark, sf):
     good = (F.col("o_orderstatus") == "F").cast("int")
     q = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy("o_custkey", F.col("c_mktsegment").alias("dataset")).agg(F.max(good).alias("hit"), F.min_by(good, "o_orderkey").alias("hit1"))
@@ -254,10 +255,14 @@ def str14(spark, sf):
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.explode(both).alias("e")).select("k", F.col("e.u").cast("long").alias("u"), F.col("e.v").cast("long").alias("v"))
 
 
-@register("STR17_distance_text", GRAPH_SQL + ", w AS (SELECT graph_id, node, least(node, 2) AS dist FROM nodes) SELECT graph_id, node, CASE dist WHEN 0 THEN rpad('t' || node, 8, 'x') WHEN 1 THEN rpad('t' || node, 4, 'x') ELSE 't' || node END AS text FROM w")
+@register("STR17_distance_text", GRAPH_SQL + """, e AS (SELECT graph_id, src, dst FROM edges UNION SELECT graph_id, dst, src FROM edges), w AS (SELECT graph_id, node, 0 AS d FROM nodes WHERE node = 0 UNION SELECT w.graph_id, dst, d + 1 FROM w JOIN e ON e.graph_id = w.graph_id AND src = node WHERE d < 5),
+s AS (SELECT graph_id, node, min(d)::INT AS dist FROM w GROUP BY 1, 2) SELECT graph_id, node, CASE WHEN dist > 1 THEN 't' || node ELSE 't' || node || chr(10) || repeat('x', (8 // 2 ** dist)::INT) END AS fading, CASE WHEN dist <= 1 THEN 't' || node || chr(10) || repeat('x', 8) ELSE 't' || node END AS near, 't' || node AS title FROM s""")
 def str17(spark, sf):
-    name, d = F.concat(F.lit("t"), F.col("node").cast("string")), F.least(F.col("node"), F.lit(2))
-    return graphs(spark, sf)[0].select("graph_id", "node", F.when(d == 0, F.rpad(name, 8, "x")).when(d == 1, F.rpad(name, 4, "x")).otherwise(name).alias("text"))
+    """Texts of the nodes around node 0, by their distance from it."""
+    nodes, edges = graphs(spark, sf)
+    found = R.reachable(edges, nodes.where("node = 0"))
+    args = (F.concat(F.lit("t"), F.col("node").cast("string")), F.lit("x" * 8), F.col("dist").cast("int"))
+    return found.select("graph_id", "node", H.text_mapping("fading_bodies", 0, 1)(*args).alias("fading"), H.text_mapping("near_bodies", 1)(*args).alias("near"), H.text_mapping("all_titles")(*args).alias("title"))
 
 
 @register("STR18_chat_prompt", "SELECT conv_id, turn::BIGINT AS turn, '<|' || role || '|>' || chr(10) || coalesce(text, '') AS text FROM conversations")
@@ -290,10 +295,13 @@ def arr01(spark, sf):
     return table(spark, sf, "benchmark", F.col("item_id").cast("long").alias("k"), F.size(F.regexp_extract_all("text", F.lit(r"[A-Za-zÀ-ÿ]+|[^\sA-Za-zÀ-ÿ]"), F.lit(0))).cast("long").alias("n"))
 
 
-@register("ARR03_last_token_label", "SELECT vec_id, 63::BIGINT AS ignored FROM embeddings")
+@register("ARR03_last_token_label", "SELECT conv_id, turn, greatest(length(text) - 1, 0)::BIGINT AS last_ignored, least(length(text), 5)::BIGINT AS prefix_ignored, CASE WHEN length(text) > 0 THEN ascii(right(text, 1)) END::BIGINT AS label FROM (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations)")
 def arr03(spark, sf):
-    labels = F.transform("embedding", lambda x, i: F.when(i < F.size("embedding") - 1, F.lit(P.IGNORE)).otherwise(1))
-    return table(spark, sf, "embeddings", "vec_id", F.size(F.filter(labels, lambda x: x == P.IGNORE)).cast("long").alias("ignored"))
+    text = F.coalesce("text", F.lit(""))
+    ids = F.when(text == "", F.array().cast("array<int>")).otherwise(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c)))
+    ignored = lambda labels: F.size(F.filter(labels, lambda x: x == P.IGNORE)).cast("long")
+    last = P.last_token_labels(ids)
+    return table(spark, sf, "conversations", "conv_id", "turn", ignored(last).alias("last_ignored"), ignored(P.prefix_labels(ids, 5)).alias("prefix_ignored"), F.get(last, F.size(last) - 1).cast("long").alias("label"))
 
 
 @register("ARR04_prefix_search", "SELECT p_partkey AS k, CASE WHEN p_size % 2 = 0 THEN 2 ELSE NULL END::INT AS at FROM part")

@@ -39,12 +39,23 @@ def gen07(spark, sf):
     return G.geometric_graph(spark, 10, 40, 0.2, "geo")
 
 
-@register("GEN10_needle_violations", "SELECT * FROM (VALUES ('node count', 0::BIGINT), ('gold place', 0::BIGINT), ('single holder', 0::BIGINT), ('paired gold', 0::BIGINT)) t(rule, n)")
+@register("GEN10_needle_violations", """SELECT * FROM (VALUES ('node count', 0::BIGINT, 60::BIGINT), ('gold place', 0, 90), ('single holder', 0, 90), ('paired gold', 0, 10)) t(rule, n, broken)""")
 def gen10(spark, sf):
-    return G.needle_violations(G.needle_cells(spark, 50, [8, 16, 32], [32, 64], "needle"))
+    """Sound cells break no rule; of 50 examples, ten have a code too many, ten have a strange gold code, and ten have one in half of their cells."""
+    sound = G.needle_cells(spark, 50, [8, 16, 32], [32, 64], "needle")
+    kind = F.col("example") % 5
+    gold = F.when(kind == 1, "ZZZZZ").when((kind == 2) & (F.col("cell_t") == 64), "YYYYY").otherwise(F.col("gold_code"))
+    # cells with one code more than they may have keep their gold in place
+    broken = sound.withColumns({"gold_code": gold, "codes": F.when(kind == 0, F.array_append("codes", F.lit("XXXXX"))).otherwise(F.col("codes"))})
+    return G.needle_violations(sound).join(G.needle_violations(broken).withColumnRenamed("n", "broken"), "rule")
 
 
-@register("GEN09_needle_cells")
+def needle_u(*parts):
+    return "(('0x' || sha256(" + " || ':' || ".join(parts) + ")[:8])::BIGINT / 4294967296.0::DOUBLE)"
+
+
+@register("GEN09_needle_cells", f"""WITH e AS (SELECT x AS example, floor({needle_u("'needle'", "x", "'gold'")} * 8)::BIGINT AS gold_slot, list_transform(range(32), lambda i: chr((65 + floor({needle_u("'needle'", "x", "i", "0")} * 26))::INT) || lpad(floor({needle_u("'needle'", "x", "i", "1")} * 10000)::INT::VARCHAR, 4, '0')) AS codes FROM range(50) t(x))
+SELECT example, n::INT AS cell_n, t::INT AS cell_t, gold_slot, codes[gold_slot + 1] AS gold_code, codes[:n] AS codes FROM e, (VALUES (8), (16), (32)) a(n), (VALUES (32), (64)) b(t)""")
 def gen09(spark, sf):
     return G.needle_cells(spark, 50, [8, 16, 32], [32, 64], "needle")
 
@@ -62,7 +73,7 @@ def join18(spark, sf):
     return G.kin(G.families(spark, 20, 4, 4, "fam")).groupBy("graph_id", "relation").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("JOIN17_closure", """WITH RECURSIVE e AS (SELECT 0::BIGINT AS graph_id, c_custkey // 7 AS src, c_custkey AS dst FROM customer WHERE c_custkey > 0), w AS (SELECT graph_id, src, dst, 1 AS d FROM e UNION ALL SELECT w.graph_id, w.src, e.dst, d + 1 FROM w JOIN e ON e.src = w.dst WHERE d < 6)
+@register("JOIN17_closure", """WITH RECURSIVE e AS (SELECT 0::BIGINT AS graph_id, c_custkey // 7 AS src, c_custkey AS dst FROM customer WHERE c_custkey > 0), w AS (SELECT graph_id, src, dst, 1 AS d FROM e UNION ALL SELECT w.graph_id, w.src, e.dst, d + 1 FROM w JOIN e ON e.src = w.dst)
 SELECT graph_id, src, dst, min(d)::BIGINT AS depth FROM w GROUP BY 1, 2, 3""")
 def join17(spark, sf):
     e = read_table(spark, sf, "customer").where("c_custkey > 0").select(F.lit(0).cast("long").alias("graph_id"), F.floor(F.col("c_custkey") / 7).alias("src"), F.col("c_custkey").alias("dst"))
