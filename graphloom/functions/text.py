@@ -118,3 +118,22 @@ def bucket_list(value: Column, sizes: list[int]) -> Column:
 def size_text(n: Column) -> Column:
     """12345678 as 12M, 12345 as 12k."""
     return F.when(n >= 1_000_000, F.concat(F.floor(n / 1_000_000).cast("string"), F.lit("M"))).when(n >= 1000, F.concat(F.floor(n / 1000).cast("string"), F.lit("k"))).otherwise(n.cast("string"))
+
+
+def forecast_question(kind: str, key: Column, days: int) -> Column:
+    """Will <kind> <key> order within <days> days?"""
+    return F.format_string(f"Will {kind} %d order within {days} days?", key)
+
+
+def yes_no(answer: Column) -> Column:
+    return F.when(answer, "yes").otherwise("no")
+
+
+def needle_sentence(name: Column, code: Column) -> Column:
+    """The access code of <name> is <code>."""
+    return F.concat(F.lit("The access code of "), name, F.lit(" is "), code.cast("string"), F.lit("."))
+
+
+def chat_turn(role: Column, text: Column) -> Column:
+    """A turn under its role's mark; a null text is empty."""
+    return F.concat(F.lit("<|"), role, F.lit("|>\n"), F.coalesce(text, F.lit("")))

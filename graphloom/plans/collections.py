@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
 from graphloom.operators import kg as K
+from graphloom.operators import records as Q
 from graphloom.operators import textgraph as G
 from graphloom.operators import tokens as P
 from graphloom.plans.registry import register
@@ -59,7 +60,7 @@ def flt07(spark, sf):
 
 @register("FLT09_answerability", "SELECT o_custkey AS qid, count(*)::BIGINT AS gold, sum((o_orderstatus = 'F')::INT)::BIGINT AS present FROM orders GROUP BY 1 HAVING sum((o_orderstatus = 'F')::INT) > 0")
 def flt09(spark, sf):
-    return table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("qid")).agg(F.count(F.lit(1)).alias("gold"), F.sum((F.col("o_orderstatus") == "F").cast("long")).alias("present")).where("present > 0")
+    return Q.answerable(table(spark, sf, "orders", F.col("o_custkey").alias("qid"), (F.col("o_orderstatus") == "F").alias("present")))
 
 
 @register("FLT15_banned_substring", "SELECT doc_id FROM documents WHERE NOT contains(lower(text), 'license')")
@@ -246,7 +247,7 @@ def win13(spark, sf):
 
 @register("WIN15_unique_names", "SELECT p_name AS name, min(p_partkey) AS k FROM part GROUP BY 1 HAVING count(*) <= 70")
 def win15(spark, sf):
-    return table(spark, sf, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("k"), F.count(F.lit(1)).alias("n")).where("n <= 70").drop("n")
+    return Q.rare_names(table(spark, sf, "part"), "p_name", "p_partkey", 70)
 
 
 @register("WIN11_kth_oldest", "SELECT n.n_nationkey AS grp, s_suppkey AS k, row_number() OVER (PARTITION BY n_nationkey ORDER BY s_acctbal, s_suppkey)::BIGINT AS place, count(*) OVER (PARTITION BY n_nationkey) > 1 AS ranked FROM supplier JOIN nation n ON s_nationkey = n_nationkey")
@@ -343,18 +344,19 @@ def top09(spark, sf):
 
 @register("JOIN15_anti", "SELECT c_custkey AS id FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
 def join15(spark, sf):
-    return table(spark, sf, "customer", F.col("c_custkey").alias("id")).join(table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("id")), "id", "left_anti")
+    return Q.lacking(table(spark, sf, "customer", F.col("c_custkey").alias("id")), table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("id")))
 
 
 @register("JOIN13_two_hop", "SELECT c_custkey AS id, EXISTS (SELECT 1 FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey = c_custkey AND l_returnflag = 'R') AS yes FROM customer")
 def join13(spark, sf):
-    hit = table(spark, sf, "orders").join(table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi").select(F.col("o_custkey").alias("id")).distinct().withColumn("yes", F.lit(True))
-    return table(spark, sf, "customer", F.col("c_custkey").alias("id")).join(hit, "id", "left").withColumn("yes", F.coalesce("yes", F.lit(False)))
+    first = table(spark, sf, "orders", F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("via"))
+    second = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("via"))
+    return Q.holds(table(spark, sf, "customer", F.col("c_custkey").alias("id")), Q.two_hop(first, second))
 
 
 @register("JOIN10_scored_by_all", "SELECT doc_id FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL GROUP BY 1 HAVING count(*) = 1")
 def join10(spark, sf):
-    return table(spark, sf, "documents").join(table(spark, sf, "labels").where("quality is not null"), "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("doc_id")
+    return Q.scored_once(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id", "quality")
 
 
 @register("JOIN21_grid", "SELECT n_nationkey AS a, r_regionkey AS b FROM nation, region")
@@ -366,32 +368,22 @@ def join21(spark, sf):
 def join22(spark, sf):
     a = table(spark, sf, "nation", F.col("n_nationkey").alias("k"))
     b = table(spark, sf, "customer").where("c_custkey % 3 = 0 and c_nationkey < 12").select(F.col("c_nationkey").alias("k"))
-    gap = lambda x, y, side: x.exceptAll(y).agg(F.count(F.lit(1)).alias("n")).select(F.lit(side).alias("side"), "n")
-    return gap(a, b, "left").unionByName(gap(b, a, "right"))
+    return Q.bag_gaps(a, b)
 
 
 @register("WIN12_cell_batches", "SELECT doc_id, source AS cell, ((row_number() OVER (PARTITION BY source ORDER BY sha256('7:' || doc_id), doc_id) - 1) // 8)::BIGINT AS batch FROM documents")
 def win12(spark, sf):
-    from pyspark.sql.window import Window
-
-    mark = F.sha2(F.concat_ws(":", F.lit("7"), F.col("doc_id").cast("string")), 256)
-    rn = F.row_number().over(Window.partitionBy("source").orderBy(mark, "doc_id")) - 1
-    return table(spark, sf, "documents", "doc_id", F.col("source").alias("cell"), F.floor(rn / 8).alias("batch"))
+    return Q.cell_batches(table(spark, sf, "documents", "doc_id", F.col("source").alias("cell")), "cell", "doc_id", 8, "7")
 
 
 @register("WIN14_layer_groups", "SELECT n_nationkey AS layer, (n_nationkey * 4 // 25)::BIGINT AS grp FROM nation")
 def win14(spark, sf):
-    return table(spark, sf, "nation", F.col("n_nationkey").alias("layer"), F.floor(F.col("n_nationkey") * 4 / 25).alias("grp"))
+    return table(spark, sf, "nation", F.col("n_nationkey").alias("layer"), Q.layer_group(F.col("n_nationkey"), 4, 25).alias("grp"))
 
 
 @register("TOP03_neighbourhood_cap", "SELECT o_custkey AS graph_id, o_orderkey AS node FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY (o_orderkey % 3), sha256('n:' || o_orderkey), o_orderkey) AS rn FROM orders) WHERE rn <= 4")
 def top03(spark, sf):
-    from pyspark.sql.window import Window
-
-    # nearer rows never lose to farther ones; equal distances are broken by a hash
-    mark = F.sha2(F.concat_ws(":", F.lit("n"), F.col("o_orderkey").cast("string")), 256)
-    rn = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.col("o_orderkey") % 3, mark, "o_orderkey"))
-    return table(spark, sf, "orders").withColumn("rn", rn).where("rn <= 4").select(F.col("o_custkey").alias("graph_id"), F.col("o_orderkey").alias("node"))
+    return Q.nearest(table(spark, sf, "orders", F.col("o_custkey").alias("graph_id"), F.col("o_orderkey").alias("node")), "graph_id", F.col("node") % 3, "node", 4, "n")
 
 
 @register("AGG29_bucket_audit", "WITH b AS (SELECT doc_id // 8 AS batch, max(n_chars) AS longest, sum(n_chars) AS used, count(*) AS n FROM documents GROUP BY 1), k AS (SELECT *, (ceil(longest / 512.0) * 512)::BIGINT AS bucket FROM b) SELECT bucket, count(*)::BIGINT AS batches, round(avg(1 - used / (bucket * n)::DOUBLE), 6) AS waste FROM k GROUP BY 1")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.operators import metrics as M
+from graphloom.operators import records as Q
 from graphloom.plans.registry import register
 from graphloom.storage import read_table
 
@@ -82,8 +83,8 @@ def agg01(spark, sf):
 
 @register("AGG02_first_failing_gate", QUESTIONS_SQL + """ SELECT dataset, CASE WHEN gold < 4 THEN 'few_answers' WHEN present = 0 THEN 'not_retrieved' WHEN present * 2 < gold THEN 'capped' ELSE 'kept' END AS gate, count(*)::BIGINT AS n FROM q GROUP BY 1, 2""")
 def agg02(spark, sf):
-    gate = F.when(F.col("gold") < 4, "few_answers").when(F.col("present") == 0, "not_retrieved").when(F.col("present") * 2 < F.col("gold"), "capped").otherwise("kept")
-    return questions(spark, sf).groupBy("dataset", gate.alias("gate")).agg(F.count(F.lit(1)).alias("n"))
+    gates = {"few_answers": F.col("gold") < 4, "not_retrieved": F.col("present") == 0, "capped": F.col("present") * 2 < F.col("gold")}
+    return questions(spark, sf).groupBy("dataset", Q.first_failing(gates, "kept").alias("gate")).agg(F.count(F.lit(1)).alias("n"))
 
 
 LENGTHS_SQL = "SELECT lang AS grp, length(text)::BIGINT AS len FROM documents"
@@ -147,7 +148,7 @@ def agg42(spark, sf):
 @register("AGG43_success_kept", "SELECT arm, task, event_id, ok FROM (SELECT user_id AS arm, event_type AS task, event_id::BIGINT AS event_id, (value >= 20) AS ok, row_number() OVER (PARTITION BY user_id, event_type ORDER BY (value >= 20) DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
 def agg43(spark, sf):
     rows = read_table(spark, sf, "events").select(F.col("user_id").alias("arm"), F.col("event_type").alias("task"), "event_id", (F.col("value") >= 20).alias("ok"))
-    return rows.groupBy("arm", "task").agg(F.max_by(F.struct("event_id", "ok"), F.struct("ok", "event_id")).alias("x")).select("arm", "task", "x.*")
+    return Q.success_kept(rows, ["arm", "task"], "ok", "event_id")
 
 
 @register("AGG45_crosstab", RUNS_SQL + ", m AS (SELECT seed, task, count(*)::BIGINT AS n FROM runs GROUP BY 1, 2) SELECT seed, max(CASE WHEN task = 'click' THEN n END) AS click, max(CASE WHEN task = 'view' THEN n END) AS view, max(CASE WHEN task = 'error' THEN n END) AS error FROM m GROUP BY seed")
@@ -164,8 +165,8 @@ def agg46(spark, sf):
 
 @register("AGG49_components", RUNS_SQL + ", m AS (SELECT arm, sum(CASE WHEN task = 'view' THEN metric END) AS none, sum(CASE WHEN task = 'click' THEN metric END) AS frozen, sum(CASE WHEN task = 'error' THEN metric END) AS full_ FROM runs GROUP BY arm) SELECT arm, round(frozen - none, 4) AS gather, round(full_ - frozen, 4) AS scatter FROM m")
 def agg49(spark, sf):
-    m = runs(spark, sf).groupBy("arm").pivot("task", ["view", "click", "error"]).agg(F.sum("metric"))
-    return m.select("arm", F.round(F.col("click") - F.col("view"), 4).alias("gather"), F.round(F.col("error") - F.col("click"), 4).alias("scatter"))
+    m = Q.mode_components(runs(spark, sf), "arm", "task", "metric", "view", "click", "error")
+    return m.select("arm", F.round("gather", 4).alias("gather"), F.round("scatter", 4).alias("scatter"))
 
 
 @register("AGG35_step_summary", "SELECT user_id AS run, count(*)::BIGINT AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median, max(value) AS peak FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) WHERE rn > 3 GROUP BY 1")
@@ -225,8 +226,7 @@ def agg20(spark, sf):
 
 @register("AGG21_size_bins", "SELECT source AS arm, CASE WHEN n_chars <= 512 THEN '<=512' WHEN n_chars <= 2048 THEN '513-2048' ELSE '>2048' END AS bin, count(*)::BIGINT AS n FROM documents GROUP BY 1, 2")
 def agg21(spark, sf):
-    b = F.when(F.col("n_chars") <= 512, "<=512").when(F.col("n_chars") <= 2048, "513-2048").otherwise(">2048")
-    return read_table(spark, sf, "documents").groupBy(F.col("source").alias("arm"), b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return read_table(spark, sf, "documents").groupBy(F.col("source").alias("arm"), Q.size_bin(F.col("n_chars"), [512, 2048]).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("AGG24_label_balance", "SELECT coalesce(source, 'OVERALL') AS problem, sum(quality)::BIGINT AS yes, sum(1 - quality)::BIGINT AS no FROM documents JOIN labels USING (doc_id) GROUP BY ROLLUP(source)")

@@ -7,7 +7,9 @@ from pyspark.sql.window import Window
 
 from graphloom.functions import text as T
 from graphloom.operators import hooks as H
+from graphloom.operators import generators as N
 from graphloom.operators import kg as K
+from graphloom.operators import records as Q
 from graphloom.operators import relational as R
 from graphloom.operators import structure as S
 from graphloom.operators import tokens as P
@@ -54,8 +56,7 @@ def flt19(spark, sf):
 
 @register("JOIN12_one_hop", "SELECT s_suppkey AS id, EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity >= 50) AS yes FROM supplier")
 def join12(spark, sf):
-    hit = table(spark, sf, "lineitem").where("l_quantity >= 50").select(F.col("l_suppkey").alias("id")).distinct().withColumn("yes", F.lit(True))
-    return table(spark, sf, "supplier", F.col("s_suppkey").alias("id")).join(hit, "id", "left").withColumn("yes", F.coalesce("yes", F.lit(False)))
+    return Q.holds(table(spark, sf, "supplier", F.col("s_suppkey").alias("id")), table(spark, sf, "lineitem").where("l_quantity >= 50").select(F.col("l_suppkey").alias("id")))
 
 
 @register("JOIN14_same_boss", "WITH f AS (SELECT s_nationkey::BIGINT AS graph_id, s_suppkey AS src, s_suppkey % 3 AS boss FROM supplier) SELECT x.graph_id, x.src AS a, y.src AS b FROM f x JOIN f y ON x.graph_id = y.graph_id AND x.boss = y.boss AND x.src < y.src")
@@ -82,10 +83,7 @@ def join20(spark, sf):
 
 @register("JOIN23_common_seeds", RUNS_SQL + " SELECT task, seed, count(DISTINCT arm)::BIGINT AS arms FROM runs GROUP BY 1, 2 HAVING count(DISTINCT arm) = (SELECT count(DISTINCT arm) FROM runs)")
 def join23(spark, sf):
-    # seeds of a task that every arm of the table has run
-    every = runs(spark, sf)
-    n = every.agg(F.countDistinct("arm").alias("n"))
-    return every.groupBy("task", "seed").agg(F.countDistinct("arm").alias("arms")).join(F.broadcast(n), F.col("arms") == F.col("n"), "left_semi")
+    return Q.common_seeds(runs(spark, sf))
 
 
 @register("AGG12_question_means", "WITH a AS (SELECT o_custkey AS qid, c_mktsegment AS dataset, max((o_orderstatus = 'F')::INT) AS hit, arg_min((o_orderstatus = 'F')::INT, o_orderkey) AS hit1 FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2) SELECT dataset, count(*)::BIGINT AS n, round(avg(hit), 6) AS hit, round(avg(hit1), 6) AS hit1 FROM a GROUP BY 1")
@@ -104,15 +102,13 @@ def agg13(spark, sf):
 @register("AGG14_outcome_classes", "SELECT source AS cell, count(CASE WHEN n_chars % 5 = 0 THEN 1 END)::BIGINT AS em, count(CASE WHEN n_chars % 5 <> 0 AND n_chars % 3 = 0 THEN 1 END)::BIGINT AS distractor, count(CASE WHEN n_chars % 5 <> 0 AND n_chars % 3 <> 0 THEN 1 END)::BIGINT AS malformed FROM documents GROUP BY 1")
 def agg14(spark, sf):
     n = F.col("n_chars")
-    kind = F.when(n % 5 == 0, "em").when(n % 3 == 0, "distractor").otherwise("malformed")
-    rows = table(spark, sf, "documents", F.col("source").alias("cell"), kind.alias("kind")).groupBy("cell")
-    return rows.agg(*(F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in ("em", "distractor", "malformed")))
+    kind = Q.first_failing({"em": n % 5 == 0, "distractor": n % 3 == 0}, "malformed")
+    return Q.outcome_counts(table(spark, sf, "documents", F.col("source").alias("cell"), "n_chars"), "cell", kind, ["em", "distractor", "malformed"])
 
 
 @register("AGG26_answer_distribution", "SELECT CASE WHEN quality = 1 THEN 'Yes' ELSE 'No' END AS answer, count(*)::BIGINT AS n FROM labels GROUP BY 1")
 def agg26(spark, sf):
-    last = F.element_at(F.array(F.lit(-100), F.col("quality")), -1)
-    return table(spark, sf, "labels").groupBy(F.when(last == 1, "Yes").otherwise("No").alias("answer")).agg(F.count(F.lit(1)).alias("n"))
+    return Q.last_label_distribution(table(spark, sf, "labels"), F.array(F.lit(-100), F.col("quality")), 1)
 
 
 @register("AGG27_masking_statistics", PACK_SQL + " SELECT a.graph_id, sum(CASE WHEN abs(a.node - b.node) <= 1 THEN 0 ELSE a.len * b.len END)::BIGINT AS blocked, sum(a.len * b.len)::BIGINT AS pairs FROM p a JOIN p b ON a.graph_id = b.graph_id AND a.node <> b.node AND NOT a.is_prompt AND NOT b.is_prompt GROUP BY 1")
@@ -125,31 +121,26 @@ def agg27(spark, sf):
 
 @register("AGG44_stall_flags", RUNS_SQL + ", t AS (SELECT arm, avg(metric) AS mean, median(metric) AS mid FROM runs GROUP BY 1) SELECT arm, round(mean / mid, 6) AS ratio, mean / mid > 1.1 AS stalled FROM t")
 def agg44(spark, sf):
-    t = runs(spark, sf).groupBy("arm").agg(F.avg("metric").alias("mean"), F.median("metric").alias("mid"))
-    return t.select("arm", F.round(F.col("mean") / F.col("mid"), 6).alias("ratio"), (F.col("mean") / F.col("mid") > 1.1).alias("stalled"))
+    return Q.stall_flags(runs(spark, sf), "arm", "metric").withColumn("ratio", F.round("ratio", 6))
 
 
 @register("AGG47_cost_model", RUNS_SQL + """, m AS (SELECT arm, avg(metric) AS y FROM runs GROUP BY 1), two AS (SELECT * FROM m ORDER BY arm LIMIT 2),
 f AS (SELECT min(arm) AS x0, max(arm) AS x1, arg_min(y, arm) AS y0, arg_max(y, arm) AS y1 FROM two), g AS (SELECT arm, y, y0 + (y1 - y0) / (x1 - x0) * (arm - x0) AS guess FROM m, f WHERE arm > x1)
 SELECT arm, round(guess, 6) AS predicted, round(100 * (guess - y) / y, 6) AS error_percent FROM g""")
 def agg47(spark, sf):
-    # the line through the two smallest arms predicts all others
-    m = runs(spark, sf).groupBy("arm").agg(F.avg("metric").alias("y"))
-    pair = m.orderBy("arm").limit(2)
-    fit = pair.agg(F.min("arm").alias("x0"), F.max("arm").alias("x1"), F.min_by("y", "arm").alias("y0"), F.max_by("y", "arm").alias("y1"))
-    guess = F.col("y0") + (F.col("y1") - F.col("y0")) / (F.col("x1") - F.col("x0")) * (F.col("arm") - F.col("x0"))
-    return m.crossJoin(F.broadcast(fit)).where("arm > x1").select("arm", F.round(guess, 6).alias("predicted"), F.round(100 * (guess - F.col("y")) / F.col("y"), 6).alias("error_percent"))
+    out = Q.line_forecast(runs(spark, sf).groupBy("arm").agg(F.avg("metric").alias("y")), "arm", "y")
+    return out.select("arm", F.round("predicted", 6).alias("predicted"), F.round("error_percent", 6).alias("error_percent"))
 
 
 @register("AGG48_result_columns", "SELECT max(CASE WHEN lang = 'en' THEN n END)::BIGINT AS eval_en_n, max(CASE WHEN lang = 'de' THEN n END)::BIGINT AS eval_de_n FROM (SELECT lang, count(*) AS n FROM documents GROUP BY 1)")
 def agg48(spark, sf):
-    return table(spark, sf, "documents").groupBy().pivot("lang", ["en", "de"]).agg(F.count(F.lit(1)).alias("n")).select(F.col("en").alias("eval_en_n"), F.col("de").alias("eval_de_n"))
+    return Q.result_columns(table(spark, sf, "documents"), "lang", ["en", "de"], F.count(F.lit(1)), "n")
 
 
 @register("AGG50_shape_timing", "SELECT n_chars // 1024 AS shape, round(median(doc_id), 4) AS median, round(avg(doc_id), 4) AS mean, count(*)::BIGINT AS n, round(coalesce(stddev_samp(doc_id), 0.0), 4) AS std FROM documents GROUP BY 1")
 def agg50(spark, sf):
-    g = table(spark, sf, "documents").groupBy(F.floor(F.col("n_chars") / 1024).alias("shape"))
-    return g.agg(F.round(F.median("doc_id"), 4).alias("median"), F.round(F.avg("doc_id"), 4).alias("mean"), F.count(F.lit(1)).alias("n"), F.round(F.coalesce(F.stddev_samp("doc_id"), F.lit(0.0)), 4).alias("std"))
+    out = Q.shape_timing(table(spark, sf, "documents"), F.floor(F.col("n_chars") / 1024), "doc_id")
+    return out.select("shape", "n", *(F.round(c, 4).alias(c) for c in ("median", "mean", "std")))
 
 
 @register("TOP05_answer_truncation", "SELECT user_id, string_agg(k, ',' ORDER BY h, k) AS kept FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY h, k) AS rn FROM (SELECT DISTINCT user_id, (props->>'k') AS k, sha256('0:' || user_id || ':' || (props->>'k')) AS h FROM events)) WHERE rn <= 3 GROUP BY 1")
@@ -204,7 +195,7 @@ def grf11(spark, sf):
 
 @register("GRF12_header_nodes", "SELECT DISTINCT o_custkey AS seed_id, 'header:orders' AS dst, o_orderkey AS src FROM orders")
 def grf12(spark, sf):
-    return table(spark, sf, "orders").select(F.col("o_custkey").alias("seed_id"), F.lit("header:orders").alias("dst"), F.col("o_orderkey").alias("src")).distinct()
+    return Q.header_edges(table(spark, sf, "orders"), "o_custkey", "orders", "o_orderkey")
 
 
 @register("GRF19_oriented", GRAPH_SQL + ", o AS (SELECT graph_id, src, dst, ('0x' || sha256('o:' || graph_id || ':' || src || ':' || dst)[:8])::BIGINT / 4294967296.0::DOUBLE AS u FROM edges WHERE src < dst) SELECT graph_id, src, dst FROM o WHERE u < 0.7 UNION ALL SELECT graph_id, dst, src FROM o WHERE u >= 0.5")
@@ -223,11 +214,13 @@ def grf20(spark, sf):
     return rows.select("conv_id", F.array_join(F.transform("a", lambda x: x["turn"].cast("string")), ",").alias("order"))
 
 
-@register("ALG11_hierarchy_roots", "SELECT n_nationkey AS k, n_regionkey AS boss, false AS is_root FROM nation UNION ALL SELECT 100 + r_regionkey, NULL, true FROM region")
+@register("ALG11_hierarchy", """WITH e AS (SELECT 1000 + n_regionkey AS src, 2000 + n_nationkey AS dst FROM nation UNION ALL SELECT 2000 + s_nationkey, 10000 + s_suppkey FROM supplier)
+SELECT src, dst, 1::BIGINT AS depth FROM e UNION ALL SELECT a.src, b.dst, 2 FROM e a JOIN e b ON b.src = a.dst""")
 def alg11(spark, sf):
-    n = table(spark, sf, "nation", F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias("boss"))
-    r = table(spark, sf, "region", (100 + F.col("r_regionkey")).alias("k"), F.lit(None).cast("int").alias("boss"))
-    return n.unionByName(r).withColumn("is_root", F.col("boss").isNull())
+    """Everyone below everyone: suppliers under nations under regions."""
+    nation = table(spark, sf, "nation", (F.col("n_regionkey").cast("long") + 1000).alias("src"), (F.col("n_nationkey").cast("long") + 2000).alias("dst"))
+    supplier = table(spark, sf, "supplier", (F.col("s_nationkey").cast("long") + 2000).alias("src"), (F.col("s_suppkey") + 10000).alias("dst"))
+    return N.closure(nation.unionByName(supplier).withColumn("graph_id", F.lit(0).cast("long"))).drop("graph_id")
 
 
 @register("ALG13_structural_mask", PACK_SQL + ', t AS (SELECT graph_id, "offset" + k AS pos, node, is_prompt FROM (SELECT *, unnest(range(len)) AS k FROM p)), m AS (SELECT a.graph_id, a.pos AS q, b.pos AS k FROM t a JOIN t b ON a.graph_id = b.graph_id AND (b.pos <= a.pos OR (NOT a.is_prompt AND NOT b.is_prompt)) AND abs(a.node - b.node) <= 1 UNION SELECT graph_id, pos, pos FROM t) SELECT graph_id, count(*)::BIGINT AS n, sum(q * 7 + k)::BIGINT AS mark FROM m GROUP BY 1')
@@ -267,7 +260,7 @@ def str17(spark, sf):
 
 @register("STR18_chat_prompt", "SELECT conv_id, turn::BIGINT AS turn, '<|' || role || '|>' || chr(10) || coalesce(text, '') AS text FROM conversations")
 def str18(spark, sf):
-    return table(spark, sf, "conversations", "conv_id", F.col("turn").cast("long").alias("turn"), F.concat(F.lit("<|"), "role", F.lit("|>\n"), F.coalesce("text", F.lit(""))).alias("text"))
+    return table(spark, sf, "conversations", "conv_id", F.col("turn").cast("long").alias("turn"), T.chat_turn(F.col("role"), F.col("text")).alias("text"))
 
 
 @register("MTH02_string_seed", "SELECT s_suppkey AS k, sha256('needle|7|' || s_suppkey)[:16] AS seed FROM supplier")

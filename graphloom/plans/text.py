@@ -86,7 +86,7 @@ def str10(spark, sf):
 
 @register("STR11_question_text", "SELECT c_custkey::BIGINT AS k, 'Will customer ' || c_custkey || ' order within 90 days?' AS question, CASE WHEN c_acctbal > 0 THEN 'yes' ELSE 'no' END AS answer FROM customer")
 def str11(spark, sf):
-    return read_table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.format_string("Will customer %d order within %d days?", "c_custkey", F.lit(90)).alias("question"), F.when(F.col("c_acctbal") > 0, "yes").otherwise("no").alias("answer"))
+    return read_table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), T.forecast_question("customer", F.col("c_custkey"), 90).alias("question"), T.yes_no(F.col("c_acctbal") > 0).alias("answer"))
 
 
 @register("STR12_spreadsheet_label", "SELECT p_partkey::BIGINT AS k, CASE WHEN i < 26 THEN chr(65 + i) WHEN i < 702 THEN chr(65 + (i - 26) // 26) || chr(65 + (i - 26) % 26) ELSE chr(65 + (i - 702) // 676) || chr(65 + ((i - 702) // 26) % 26) || chr(65 + (i - 702) % 26) END AS label FROM (SELECT p_partkey, (p_partkey % 18278)::INT AS i FROM part)")
@@ -101,7 +101,7 @@ def str13(spark, sf):
 
 @register("STR15_templates", "SELECT n_nationkey::BIGINT AS k, 'The access code of ' || n_name || ' is ' || n_regionkey || '.' AS text FROM nation")
 def str15(spark, sf):
-    return read_table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("k"), F.format_string("The access code of %s is %d.", "n_name", "n_regionkey").alias("text"))
+    return read_table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("k"), T.needle_sentence(F.col("n_name"), F.col("n_regionkey")).alias("text"))
 
 
 @register("STR19_flat_text", "SELECT n_regionkey::BIGINT AS graph_id, string_agg('nation ' || n_nationkey || ' | in_region | region ' || n_regionkey, chr(10) ORDER BY n_nationkey) AS text FROM nation GROUP BY 1")
