@@ -24,8 +24,8 @@ from graphloom.llm.substring_dedup import by_bucket, pack_documents, unpack_docu
 from graphloom.storage import bucket_count, fresh_path
 
 MAGIC = b"SMP8"
-#: Chunk bounds in bytes; on average a cut comes 8 KiB after the least size.
-LEAST, MOST, MASK = 2048, 65536, (1 << 13) - 1
+#: Chunk bounds in bytes; on average a cut comes 1 KiB after the least size, so that ordinary texts are several chunks.
+LEAST, MOST, MASK = 512, 8192, (1 << 10) - 1
 WINDOW = 32
 BUCKET_BYTES = 3 << 20
 _GEAR = np.random.Generator(np.random.PCG64(8)).integers(0, 1 << 32, 256, dtype=np.uint32)
