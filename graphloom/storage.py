@@ -23,8 +23,24 @@ def stage_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Paths handed out in this driver, for clear_stages().
+_staged: list[str] = []
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{stage_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{stage_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _staged.append(path)
+    return path
+
+
+def clear_stages(spark: SparkSession) -> int:
+    """Delete all that this driver has staged, and say how many paths there were. Results read staged tables until they are written
+    or collected, so this is for the end of a job."""
+    paths, _staged[:] = list(_staged), []
+    for path in paths:
+        fs, target = file_system(spark, path)
+        fs.delete(target, True)
+    return len(paths)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

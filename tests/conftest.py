@@ -20,4 +20,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from graphloom.storage import clear_stages
+
+    clear_stages(session)
     session.stop()

@@ -247,3 +247,17 @@ def test_public_names_load():
     assert all(getattr(graphloom, name) is not None for name in graphloom.__all__) and set(graphloom.__all__) <= set(dir(graphloom))
     with pytest.raises(AttributeError):
         graphloom.nothing
+
+
+def test_staged_tables_are_cleared(spark):
+    from graphloom import storage
+
+    kept, storage._staged[:] = list(storage._staged), []
+    try:
+        path = storage.fresh_path(spark, "cleared")
+        spark.range(3).write.parquet(path)
+        assert storage.clear_stages(spark) == 1 and storage.clear_stages(spark) == 0
+        fs, target = storage.file_system(spark, path)
+        assert not fs.exists(target)
+    finally:
+        storage._staged[:] = kept
