@@ -99,7 +99,7 @@ def energy_rank(matrix: np.ndarray, share: float) -> int:
 def spectrum_ranks(entries: DataFrame, shares: tuple[float, ...] = (0.9, 0.99)) -> DataFrame:
     """(graph_id, share, rank) of matrices in long form (graph_id, i, j, value), each of which must fit one task."""
 
-    def work(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def work(key, pdf):
         a = pdf.pivot_table(index="i", columns="j", values="value", aggfunc="sum", fill_value=0.0).to_numpy()
         return pd.DataFrame({"graph_id": key[0], "share": shares, "rank": [energy_rank(a, s) for s in shares]})
 

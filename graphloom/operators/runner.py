@@ -5,12 +5,13 @@ from __future__ import annotations
 import json
 import shlex
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators import sweep as W
+from graphloom.operators.datasets import list_names
+from graphloom.storage import write_text
 
 
 def short(value) -> str:
@@ -37,12 +38,12 @@ def command(module: str, run: dict, name: str, records: str) -> str:
 
 
 def run_sweep(spark: SparkSession, config: dict, task: Callable[[SparkSession, dict], dict], folder: str) -> list[dict]:
-    """All runs of a configuration one after another, each as Spark work of task, recorded as it ends in runs.jsonl of a folder that the
-    driver can open. A run that is recorded already isn't run again; one that fails is recorded with its error, and the others go on."""
-    base = Path(folder)
-    base.mkdir(parents=True, exist_ok=True)
-    file = base / "runs.jsonl"
-    records = [json.loads(x) for x in file.read_text().splitlines() if x.strip()] if file.exists() else []
+    """All runs of a configuration one after another, each as Spark work of task, recorded as it ends under folder, which may lie in any store;
+    report.md there sums them up. A run that is recorded already isn't run again; one that fails is recorded with its error, and the
+    others go on."""
+    path, schema = f"{folder}/runs", "place long, record string"
+    old = spark.read.schema(schema).json(path).orderBy("place").collect() if list_names(spark, path) else []
+    records = [json.loads(r["record"]) for r in old]
     done = {r["sweep_run"] for r in records if "error" not in r}
     runs = W.expand(config)
     for name, run in zip(run_names(runs), runs, strict=True):
@@ -52,10 +53,9 @@ def run_sweep(spark: SparkSession, config: dict, task: Callable[[SparkSession, d
             record = {"sweep_run": name, **run, **task(spark, run)}
         except Exception as fault:  # what a task raises is its own; the sweep goes on
             record = {"sweep_run": name, **run, "error": f"{type(fault).__name__}: {fault}"}
+        spark.createDataFrame([(len(records), json.dumps(record))], schema).coalesce(1).write.mode("append").json(path)
         records.append(record)
-        with file.open("a") as out:
-            out.write(json.dumps(record) + "\n")
-    W.write_report(folder)
+    write_text(spark, f"{folder}/report.md", W.report(records, folder.rstrip("/").rsplit("/", 1)[-1]))
     return records
 
 
@@ -71,8 +71,6 @@ def grid_cells(spark: SparkSession, axes: dict[str, list], tokens: str, limit: i
 def run_grid(spark: SparkSession, cells: DataFrame, keys: list[str], score: Callable[[SparkSession, dict], dict], path: str, largest_first: bool = True) -> DataFrame:
     """score each cell, one record for each as JSON lines in a shared folder; cells with a record are left out, so a grid that was cut off goes on
     where it stopped. Returns all records."""
-    from graphloom.operators.datasets import list_names
-
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema.fields if f.name in keys) + ", record string"
     if list_names(spark, path):
         cells = cells.join(spark.read.schema(schema).json(path), keys, "left_anti")

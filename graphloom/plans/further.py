@@ -347,15 +347,12 @@ def udf08(spark, sf):
 
 @register("ORC02_sweep_runs", "SELECT '000' || (2 * a + b) || '_cut' || c || '_side' || s AS run, s AS side, c AS cut, (SELECT count(*) FROM orders WHERE o_orderstatus = s AND o_totalprice > c)::BIGINT AS n FROM (VALUES (0, 1000), (1, 200000)) x(a, c), (VALUES (0, 'F'), (1, 'O')) y(b, s)")
 def orc02(spark, sf):
-    import tempfile
-
     def task(spark, run):
         return {"n": read_table(spark, sf, "orders").where((F.col("o_orderstatus") == run["side"]) & (F.col("o_totalprice") > run["cut"])).count()}
 
-    with tempfile.TemporaryDirectory() as folder:  # records of the driver alone
-        records = N.run_sweep(spark, {"name": "s", "cut": [1000, 200000], "side": ["F", "O"]}, task, folder)
-        again = N.run_sweep(spark, {"name": "s", "cut": [1000, 200000], "side": ["F", "O"]}, task, folder)
-    if len(again) != len(records):
+    folder = fresh_path(spark, "sweep")
+    records, again = (N.run_sweep(spark, {"name": "s", "cut": [1000, 200000], "side": ["F", "O"]}, task, folder) for _ in range(2))
+    if again != records:
         raise ValueError("recorded runs ran again")
     return spark.createDataFrame([(r["sweep_run"], r["side"], r["cut"], r["n"]) for r in records], "run string, side string, cut int, n long")
 

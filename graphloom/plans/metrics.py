@@ -211,7 +211,9 @@ def agg10(spark, sf):
     return M.constant_columns(read_table(spark, sf, "documents").select("lang", F.lit(1).alias("one")), ["lang", "one"])
 
 
-@register("AGG18_permutation_p")
+@register("AGG18_permutation_p", RUNS_SQL + """, v AS (SELECT task, (arm % 2)::INT AS arm, seed // 5 AS blk, avg(metric) AS value FROM runs GROUP BY ALL), x AS (SELECT task, list(value ORDER BY arm DESC, blk) AS vs, sum(arm)::INT AS k, count(*)::INT AS n FROM v GROUP BY 1),
+m AS (SELECT *, unnest(range(1 << n)) AS mask FROM x), s AS (SELECT task, k, mask, list_sum(list_transform(range(n), lambda i: CASE WHEN (mask >> i) & 1 = 1 THEN vs[i + 1] / k ELSE -vs[i + 1] / (n - k) END)) AS gap FROM m WHERE bit_count(mask) = k)
+SELECT task, avg((gap >= (SELECT o.gap FROM s o WHERE o.task = s.task AND o.mask = (1 << o.k) - 1) - 1e-12)::INT)::DOUBLE AS p FROM s GROUP BY 1""")
 def agg18(spark, sf):
     # all splits of single days are too many: the values are means of all runs in blocks of five days
     rows = runs(spark, sf).select(F.col("task"), (F.col("arm") % 2).alias("arm"), F.floor(F.col("seed") / 5).alias("seed"), "metric")

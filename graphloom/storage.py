@@ -111,3 +111,11 @@ def replace_table(rows: DataFrame, path: str, kind: str = "json") -> None:
     fresh = f"{path}.new-{uuid.uuid4().hex}"
     rows.write.format(kind).save(fresh)
     put_in_place(rows.sparkSession, fresh, path)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text as a file in any store, in place of what is there."""
+    fs, target = file_system(spark, path)
+    out = fs.create(target, True)
+    out.write(bytearray(text.encode()))
+    out.close()

@@ -235,6 +235,7 @@ def test_runs_and_checks(spark, tmp_path):
     assert [r.get("n") for r in records] == [0, None, 2] and records[1]["error"] == "ValueError: broken"
     (tmp_path / "mended").write_text("")
     assert [r.get("n") for r in runner.run_sweep(spark, {"k": [0, 1, 2]}, task, str(tmp_path))] == [0, None, 2, 1]
+    assert (tmp_path / "report.md").read_text().count("\n| 000") == 4
     found = runner.preflight({"x": [{"a": 1}, {"a": 1}]}, {"a"})
     assert found == {"runs": 2, "unknown": [], "wrong": [], "duplicates": ["0001"], "builds": 1}
     with pytest.raises(ValueError, match="mode is one of"):
