@@ -388,3 +388,31 @@ def orc05(spark, sf):
     modes = N.Modes()
     modes.mode("count")(lambda spark, config: read_table(spark, config["sf"], "orders").agg(F.count(F.lit(1)).alias("n")))
     return modes.run(spark, {"mode": "count", "sf": sf})
+
+
+@register("STM02_visible_rows", """SELECT 'orders' AS tbl, count(*)::BIGINT AS n FROM orders WHERE o_orderdate IS NULL OR o_orderdate <= TIMESTAMP '1996-06-01'
+UNION ALL SELECT 'lineitem', count(*) FROM lineitem WHERE l_shipdate IS NULL OR l_shipdate <= TIMESTAMP '1996-06-01' UNION ALL SELECT 'customer', count(*) FROM customer""")
+def stm02(spark, sf):
+    """What a query at one time may see: timed rows up to it, and all rows of static tables."""
+    seen = R.tpch(spark, sf).upto("1996-06-01")
+    out = None
+    for name in ("orders", "lineitem", "customer"):
+        part = seen.tables[name].agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("tbl"), "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("STR21_commands", """SELECT n_nationkey::BIGINT AS k, 'python -m lab.run --max-nodes ' || n_nationkey || CASE WHEN n_nationkey % 2 = 0 THEN ' --spd' ELSE ' --no-spd' END || ' --dims 1,2 --note ''' || n_name || ' x'' --runs-jsonl r --run-name ' || lpad(n_nationkey::VARCHAR, 4, '0') AS line FROM nation""")
+def str21(spark, sf):
+    rows = read_table(spark, sf, "nation").select("n_nationkey", "n_name").collect()  # runs are few
+    lines = [(r[0], N.command("lab/run.py", {"max_nodes": r[0], "spd": r[0] % 2 == 0, "dims": [1, 2], "note": f"{r[1]} x", "none": None}, f"{r[0]:04d}", "r")) for r in rows]
+    return spark.createDataFrame(lines, "k long, line string")
+
+
+@register("ORC04_report", """SELECT '| ' || lpad(r_regionkey::VARCHAR, 4, '0') || ' | ' || printf('%.4f', r_regionkey / 3.0) || ' |' AS line FROM region UNION ALL SELECT '- `model` = m'""")
+def orc04(spark, sf):
+    from graphloom.operators.sweep import report
+
+    runs = [{"sweep_run": f"{r['r_regionkey']:04d}", "model": "m", "score": r["r_regionkey"] / 3.0, "timestamp": 1} for r in read_table(spark, sf, "region").collect()]  # runs are few
+    lines = [(x,) for x in report(runs, "s").split("\n") if x.startswith(("| 0", "- "))]
+    return spark.createDataFrame(lines, "line string")
