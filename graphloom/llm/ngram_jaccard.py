@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import kernels as K
 from graphloom.llm.components import connected_components
+from graphloom.llm.id_bits import flag_listed
 from graphloom.llm.substring_dedup import member
 from graphloom.storage import bucket_count, materialize
 
@@ -444,19 +445,6 @@ def _tokens(n: int, key: int):
     return run
 
 
-#: Bits by hash of an id (2 MiB, in at most 2**18 rows of 64) that let most documents outside all groups stay where they are.
-ID_BITS = 1 << 24
-
-
-def maybe_listed(rows: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
-    """rows whose id is in ids, and a few others: a filter by a bit table of fixed size, which is all that is broadcast."""
-    place = F.pmod(F.xxhash64(column), F.lit(ID_BITS))
-    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64({column}), {ID_BITS}) % 64 as int))")
-    words = ids.select(F.floor(place / 64).alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
-    found = rows.withColumn("__word", F.floor(place / 64)).join(F.broadcast(words), "__word")
-    return found.where(F.col("__bits").bitwiseAND(bit) != 0).select(*rows.columns)
-
-
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: tuple[int, int] = (80, 100), block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Near-duplicate classes: (doc_id, n_shingles, component_id, is_representative), one row for each input row.
 
@@ -490,7 +478,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = members.join(weights, "component").select(F.col("id").alias("doc_id"), F.col("component").alias("grp"), F.ceil(F.col("total") / block_tokens).cast("long").alias("blocks"))
     members = members.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
     members = materialize(members, f"{label}-members")
-    rows = maybe_listed(known, members).join(members, "doc_id").select("doc_id", "text", "grp", "block", "blocks").mapInArrow(_tokens(n, key), "doc_id long, grp long, block long, blocks long, tokens binary")
+    rows = flag_listed(known, members, "doc_id", "listed").where("listed").join(members, "doc_id").select("doc_id", "text", "grp", "block", "blocks").mapInArrow(_tokens(n, key), "doc_id long, grp long, block long, blocks long, tokens binary")
     task = F.xxhash64("grp", "block")
     local = materialize(_link(rows.withColumns({"task": task, "side": F.lit(0), "component": F.lit(None).cast("long")}), num, den, buckets), f"{label}-local")
     found = local

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.id_bits import flag_listed
 from graphloom.storage import fresh_path, materialize
 
 #: Format constants: the skippable frame that holds a WARC dictionary, any Zstandard frame, and a compressed dictionary.
@@ -173,13 +174,17 @@ def read_archive(data: bytes) -> Iterator[dict]:
 def mark_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 100) -> DataFrame:
     """(page_id, url, html, digest, refers_to): refers_to is the smallest page_id with an equal payload of at least
     min_bytes, null for that page itself and for smaller payloads. Rows with a null page_id are always responses and rows
-    that repeat a page_id and payload are alike. Null html is empty. The payloads themselves cross the network once."""
+    that repeat a page_id and payload are alike. Null html is empty. Other columns are ignored, so no name can clash; an empty table
+    gives an empty result. Payloads stay where they are, but for pages that may be revisits."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2("html", 256))
     keys = rows.where((F.octet_length("html") >= min_bytes) & F.col("page_id").isNotNull()).select("page_id", "digest")
     firsts = keys.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("refers_to <> last").drop("last")
-    revisits = keys.join(firsts, "digest").where("page_id <> refers_to").distinct()
-    return rows.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to")
+    revisits = materialize(keys.join(firsts, "digest").where("page_id <> refers_to").distinct(), "warc-revisits")
+    flagged = flag_listed(rows, revisits, "page_id", "listed")
+    names = ("page_id", "url", "html", "digest", "refers_to")
+    moved = flagged.where("listed").join(revisits, ["page_id", "digest"], "left").select(*names)
+    return flagged.where("not listed").withColumn("refers_to", F.lit(None).cast("long")).select(*names).unionByName(moved)
 
 
 def write_archives(marked: DataFrame, folder: str) -> DataFrame:
