@@ -27,7 +27,9 @@ MAGIC = b"SMP8"
 #: Chunk bounds in bytes; on average a cut comes 1 KiB after the least size, so that ordinary texts are several chunks.
 LEAST, MOST, MASK = 512, 8192, (1 << 10) - 1
 WINDOW = 32
-BUCKET_BYTES = 3 << 20
+#: Input bytes for each bucket of documents. A bucket passes a task as a stream of packs, so it may be large: the more it holds, the
+#: better packs compress, and the fewer chunks are shared with other buckets.
+BUCKET_BYTES = 16 << 20
 _GEAR = np.random.Generator(np.random.PCG64(8)).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
