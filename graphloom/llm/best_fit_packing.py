@@ -85,7 +85,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return plain.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    return plain.mapInArrow(K.released(run), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
 def _pack(capacity: int):
@@ -123,6 +123,6 @@ def sum_of_squares_packing(pieces: DataFrame, capacity: int = 2048, group: int =
     # the row's place in the staged table keeps equal rows apart
     dealt = small.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
     dealt = dealt.select("grp", "length", "doc_id", "piece", "start", "ids_crc32").repartition(tasks, "grp").sortWithinPartitions("grp", F.desc("length"), "doc_id", "piece", "ids_crc32")
-    packed = dealt.mapInArrow(_pack(capacity), "length long, doc_id long, piece int, start long, ids_crc32 long, sequence_id long, offset long")
+    packed = dealt.mapInArrow(K.released(_pack(capacity)), "length long, doc_id long, piece int, start long, ids_crc32 long, sequence_id long, offset long")
     full = pieces.where(F.col("length") >= capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     return packed.select(*names, "sequence_id", "offset").unionByName(full)

@@ -463,7 +463,7 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                 ids, bounds = coder.encode([t or "" for t in batch.column(1).slice(a, b - a).to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))], ["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(K.released(run), "doc_id long, ids array<int>")
 
 
 def bpe_decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -483,4 +483,4 @@ def bpe_decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
                 texts = coder.decode(column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), bounds)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), column, pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())], ["doc_id", "ids", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(K.released(run), "doc_id long, ids array<int>, text string")

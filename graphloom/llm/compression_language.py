@@ -124,7 +124,7 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "lang_pred", "score", "margin", "rejected"])
 
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return plain.mapInArrow(run, "doc_id long, lang_pred string, score double, margin double, rejected boolean")
+    return plain.mapInArrow(K.released(run), "doc_id long, lang_pred string, score double, margin double, rejected boolean")
 
 
 def held_out(id_column):
@@ -146,4 +146,4 @@ def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes], text_col: s
                 judged = _judge(part.column(place).to_pylist(), dictionaries, min_margin, level)
                 yield part.filter(pa.array([not rejected for *_, rejected in judged], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(K.released(run), docs.schema)

@@ -165,3 +165,27 @@ def ragged(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Indices of runs that begin at first and have sizes, end to end."""
     before = np.cumsum(sizes) - sizes
     return np.repeat(first - before, sizes) + np.arange(int(sizes.sum()))
+
+
+def release() -> None:
+    """Give freed memory back to the system. Workers live on between stages, and would keep the most that any stage took."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:  # glibc
+        trim(0)
+
+
+def released(work):
+    """work on batches, with release() at its end."""
+
+    def run(batches):
+        yield from work(batches)
+        release()
+
+    return run

@@ -28,7 +28,7 @@ from graphloom.llm.substring_dedup import member
 from graphloom.storage import bucket_count, materialize
 
 U = np.uint64
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 #: Shingles that one block of a candidate group may hold: 8 MB.
 BLOCK_TOKENS = 1 << 20
 #: At most so many frequent shingles (2 MB) are set aside when parts are formed; which ones, decides speed alone.
@@ -249,10 +249,13 @@ def _stars(parts: int):
             del sigs, docs
             order = np.argsort(sig, kind="stable")
             sig, doc = sig[order], doc[order]
+            del order
             start = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
             low = np.repeat(np.minimum.reduceat(doc, start), np.diff(np.append(start, len(sig))))
+            del sig, start
             pick = low != doc
             found.append(np.stack([doc[pick], low[pick]], 1))
+            del doc, low, pick
         pairs = _contract(found)
         if len(pairs):
             part = (K.mix(pairs[:, 0].astype(U)) % U(parts)).astype(np.int64)
@@ -429,7 +432,7 @@ def _linker(num: int, den: int):
 
 def _link(rows: DataFrame, num: int, den: int, tasks: int) -> DataFrame:
     rows = rows.select("task", "side", "doc_id", "component", "tokens")
-    return rows.repartition(tasks, "task").sortWithinPartitions("task", "side", F.length("tokens"), "doc_id").mapInArrow(_linker(num, den), "a long, b long")
+    return rows.repartition(tasks, "task").sortWithinPartitions("task", "side", F.length("tokens"), "doc_id").mapInArrow(K.released(_linker(num, den)), "a long, b long")
 
 
 def _tokens(n: int, key: int):
@@ -459,18 +462,18 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     num, den = threshold
     spark, key = docs.sparkSession, K.fresh_key()
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    buckets = bucket_count(base, 8 << 20)
+    buckets = bucket_count(base, 4 << 20)
     label = f"jaccard-{uuid.uuid4().hex[:8]}"
     known = base.where("doc_id is not null")
-    sets = materialize(base.mapInArrow(_describe(n, key), "doc_id long, n_shingles long, k1 long, k2 long"), label)
+    sets = materialize(base.mapInArrow(K.released(_describe(n, key)), "doc_id long, n_shingles long, k1 long, k2 long"), label)
     firsts = sets.where("n_shingles > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
-    small = known.mapInArrow(_small_parts(n, num, den, key), "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
+    small = known.mapInArrow(K.released(_small_parts(n, num, den, key)), "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
     small = small.where(F.col("times") >= HOT_TIMES).orderBy(F.desc("times"), "token").limit(HOT_TOKENS)
     hot = np.sort(small.select("token").toPandas()["token"].to_numpy(np.int64).view(U))
-    signed = known.mapInArrow(_sign(n, num, den, buckets, hot, key), "bucket int, payload binary")
+    signed = known.mapInArrow(K.released(_sign(n, num, den, buckets, hot, key)), "bucket int, payload binary")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = signed.repartition(buckets, F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.xxhash64("payload"))).mapInArrow(_stars(tasks), "part int, payload binary")
-    stars = met.repartition(tasks, "part").mapInArrow(_merge, "a long, b long")
+    met = signed.repartition(buckets, F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.xxhash64("payload"))).mapInArrow(K.released(_stars(tasks)), "part int, payload binary")
+    stars = met.repartition(tasks, "part").mapInArrow(K.released(_merge), "a long, b long")
     groups = materialize(connected_components(stars, f"{label}-candidates"), f"{label}-groups")
     # equal sets are one member of their group: the smallest document
     members = groups.join(firsts.select(F.col("rep").alias("id"), "n"), "id")
@@ -478,7 +481,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = members.join(weights, "component").select(F.col("id").alias("doc_id"), F.col("component").alias("grp"), F.ceil(F.col("total") / block_tokens).cast("long").alias("blocks"))
     members = members.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
     members = materialize(members, f"{label}-members")
-    rows = flag_listed(known, members, "doc_id", "listed").where("listed").join(members, "doc_id").select("doc_id", "text", "grp", "block", "blocks").mapInArrow(_tokens(n, key), "doc_id long, grp long, block long, blocks long, tokens binary")
+    rows = flag_listed(known, members, "doc_id", "listed").where("listed").join(members, "doc_id").select("doc_id", "text", "grp", "block", "blocks").mapInArrow(K.released(_tokens(n, key)), "doc_id long, grp long, block long, blocks long, tokens binary")
     task = F.xxhash64("grp", "block")
     local = materialize(_link(rows.withColumns({"task": task, "side": F.lit(0), "component": F.lit(None).cast("long")}), num, den, buckets), f"{label}-local")
     found = local

@@ -381,15 +381,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # a task holds the messages, or one bucket, of what it receives; it receives a few tens of MB
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 8)
     placed = base.select(F.pmod(F.xxhash64("row_id"), F.lit(buckets)).alias("bucket"), "row_id", "doc_id", "text")
-    packs = placed.mapInArrow(pack_documents, "bucket long, payload binary").select("bucket", F.lit(1).alias("kind"), "payload")
+    packs = placed.mapInArrow(K.released(pack_documents), "bucket long, payload binary").select("bucket", F.lit(1).alias("kind"), "payload")
 
     def meet(sent: DataFrame, work) -> DataFrame:
-        return sent.repartition(tasks, F.when(F.col("part") >= 0, F.col("part")).otherwise(F.xxhash64("part"))).mapInArrow(work, "bucket long, payload binary")
+        return sent.repartition(tasks, F.when(F.col("part") >= 0, F.col("part")).otherwise(F.xxhash64("part"))).mapInArrow(K.released(work), "bucket long, payload binary")
 
     def visit(answers: DataFrame, work, schema: str) -> DataFrame:
         rows = answers.select("bucket", F.lit(0).alias("kind"), "payload").unionByName(packs)
-        return rows.repartition(tasks, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(work, schema)
+        return rows.repartition(tasks, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(K.released(work), schema)
 
-    seeds = placed.select("bucket", "text").mapInArrow(_seed(min_words, k, parts, key), "part long, payload binary")
+    seeds = placed.select("bucket", "text").mapInArrow(K.released(_seed(min_words, k, parts, key)), "part long, payload binary")
     windows = visit(meet(seeds, _shared_anchors), _extend(min_words, k, parts, key), "part long, payload binary")
     return visit(meet(windows, _earlier_windows), _cut(min_words, key), "doc_id long, n_words long, n_removed long, kept_text string, repeats array<struct<first:long,last:long,source:long>>, row_id long")
