@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.best_fit_packing import sum_of_squares_packing, token_pieces
 from graphloom.llm.compression_language import keep_identified, learn_dictionaries
+from graphloom.llm.id_bits import flag_listed
 from graphloom.llm.ngram_jaccard import ngram_jaccard_join
 from graphloom.llm.quality_rules import quality_filter
 from graphloom.llm.substring_dedup import substring_dedup
@@ -43,11 +44,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     of wholly equal rows one stays. Null and empty texts are like nothing and stay. Extra columns stay, whatever their
     names. An empty table gives an empty one.
     """
-    row, kept = free_name(docs, "row_id"), free_name(docs, "kept_row")
+    row = free_name(docs, "row_id")
     rows = with_row_id(docs, row)
-    found = ngram_jaccard_join(rows, id_col=row, n=5, threshold=(80, 100)).where("is_representative")
-    keep = found.select(F.col("doc_id").alias(kept))
-    return rows.join(keep, F.col(row) == F.col(kept), "left_semi").select(*docs.columns)
+    gone = free_name(rows, "gone_row")
+    found = ngram_jaccard_join(rows, id_col=row, n=5, threshold=(80, 100)).where("not is_representative")
+    drop = materialize(found.select(F.col("doc_id").alias(row)), "pipeline-dropped")
+    # only rows that may go are shuffled
+    rows = flag_listed(rows, drop, row, gone)
+    kept = rows.where(~F.col(gone)).unionByName(rows.where(gone).join(drop, row, "left_anti"))
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,6 +29,9 @@ from graphloom.storage import bucket_count, materialize
 
 U = np.uint64
 CHUNK = 1 << 20
+#: Signatures that a task gathers before it deals them to buckets (8 MB with their documents): dealt by the chunk, each bucket would get
+#: ever smaller shreds as buckets grow in number.
+RUN = 1 << 19
 #: Shingles that one block of a candidate group may hold: 8 MB.
 BLOCK_TOKENS = 1 << 20
 #: At most so many frequent shingles (2 MB) are set aside when parts are formed; which ones, decides speed alone.
@@ -74,50 +77,61 @@ class Partitions:
             self.starts.append(self.starts[-1] * self.den // self.num + 1)
         return (self.den - self.num) * (self.starts[k + 1] - 1) // self.num
 
-    def layout(self, own: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Scheme of each set, the parts in which linked sets can differ at most, and the parts that the scheme has."""
-        k = own - shift
-        most = np.array([self.differences(x) if x >= 0 else 0 for x in range(-1, int(own.max(initial=0)) + 1)], np.int64)[k + 1]
-        return k, most, np.where(most > 0, (most + 1) * 5 // 4 + 4, 0)
+    def layout(self, sizes: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scheme of each set, the tokens in which it can differ from a linked set at most, and the parts that the scheme has.
 
-    def _parts(self, sets, owner, parts):
-        """Runs of one part: first token of each, its set and its part number."""
+        Linked sets differ in at most (den - num) / num times the smaller one's size, so neither side differs in more than that
+        share of its own. The parts are those of the scheme, for both sides alike.
+        """
+        k = self.classes(sizes) - shift
+        most = np.array([self.differences(x) if x >= 0 else 0 for x in range(-1, int(k.max(initial=0)) + 1)], np.int64)[k + 1]
+        parts = np.where(most > 0, (most + 1) * 5 // 4 + 4, 0)
+        return k, np.minimum(most, (self.den - self.num) * sizes // self.num), parts
+
+    def _parts(self, sets: np.ndarray, owner: np.ndarray, k: np.ndarray, most: np.ndarray, parts: np.ndarray, salt: int):
+        """Parts of the sets' tokens: (number, set, tokens, signature, where its tokens begin), and the places of those that a
+        set gives: as many as it can differ in and one more, of most tokens first, ties by signature."""
         h = sets >> U(32)
         part = (h * parts[owner].astype(U)) >> U(32)
         first = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]) | (owner[1:] != owner[:-1]))))
-        return first, owner[first], part[first]
+        o, part, runs = owner[first], part[first], np.diff(np.append(first, len(sets)))
+        sums = np.add.reduceat(K.mix(sets ^ U(0xA5A5A5A5 + salt)), first)
+        sig = K.mix(sums + K.mix(part + (k[o].astype(U) << U(32))))
+        best = np.lexsort((sig, -runs, o))  # sets stay in place
+        filled = np.bincount(o, minlength=len(k))
+        return part, o, runs, sig, first, best[np.arange(len(o)) - (np.cumsum(filled) - filled)[o] <= most[o]]
 
     def small_parts(self, sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Tokens that stand in parts of one or two: where such a token is frequent, parts say little about likeness."""
-        own, owner = self.classes(np.diff(bounds)), K.span_owner(bounds)
-        _, _, parts = self.layout(own, 0)
+        """Tokens that stand in given parts of one or two: where such a token is frequent, parts say little about likeness."""
+        owner = K.span_owner(bounds)
+        k, most, parts = self.layout(np.diff(bounds), 0)
         use = parts[owner] > 0
         if not use.any():
             return sets[:0]
         tokens = sets[use]
-        first, _, _ = self._parts(tokens, owner[use], parts)
-        runs = np.diff(np.append(first, len(tokens)))
-        return tokens[np.repeat(runs <= 2, runs)]
+        _, _, runs, _, first, given = self._parts(tokens, owner[use], k, most, parts, 0)
+        given = given[runs[given] <= 2]
+        return tokens[K.ragged(first[given], runs[given])]
 
     def signatures(self, sets: np.ndarray, bounds: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(signature, index of the set) for the schemes of each set's own class and the one below.
 
-        Parts are formed of the tokens outside hot: linked sets differ there in no more tokens than over all. A set that has
-        too few such parts for the pigeonhole also gives the parts of all its tokens, and then those it leaves empty.
+        Parts are formed of the tokens outside hot: linked sets differ there in no more tokens than over all. Of its parts a set
+        gives as many as linked sets can differ in, and one more. One of these a linked set has as it is; and since what is in
+        the parts says which come first, one of two linked sets gives all that both have and the other gives. A set that has
+        too few parts for the pigeonhole gives them all, also the parts of all its tokens, and then those it leaves empty.
         """
         sizes = np.diff(bounds)
-        own, owner, outs = self.classes(sizes), K.span_owner(bounds), []
+        owner, outs = K.span_owner(bounds), []
         cool = ~member(sets, hot)
         for shift in (0, 1):
-            k, most, parts = self.layout(own, shift)
+            k, most, parts = self.layout(sizes, shift)
             short = parts > 0
             for tier, pick in ((0, cool), (1, None)):
                 use = short[owner] if pick is None else short[owner] & pick
                 if use.any():
-                    h = sets[use]
-                    first, o, part = self._parts(h, owner[use], parts)
-                    sums = np.add.reduceat(K.mix(h ^ U(0xA5A5A5A5 + tier)), first)
-                    outs.append((K.mix(sums + K.mix(part + (k[o].astype(U) << U(32)))), o))
+                    part, o, _, sig, _, given = self._parts(sets[use], owner[use], k, most, parts, tier)
+                    outs.append((sig[given], o[given]))
                     filled = np.bincount(o, minlength=len(sizes))
                 else:
                     o, part, filled = np.zeros(0, np.int64), np.zeros(0, U), np.zeros(len(sizes), np.int64)
@@ -180,14 +194,53 @@ def _edge_batch(a: np.ndarray, b: np.ndarray):
     return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], ["a", "b"])
 
 
+def _pack_run(docs: np.ndarray, sigs: np.ndarray, squeeze) -> bytes:
+    """Signatures of a bucket in order of their documents, so that each is named once. Five bytes of a signature are kept:
+    more documents than share one may meet by it, at most."""
+    names, runs = np.unique(docs, return_counts=True)
+    columns = [np.diff(names.astype(np.int64), prepend=0).view(np.uint8).reshape(-1, 8), runs.astype("<u4").view(np.uint8).reshape(-1, 4)]
+    head = squeeze(b"".join(c.T.tobytes() for c in columns))
+    return struct.pack("<II", len(names), len(head)) + head + np.ascontiguousarray(sigs).view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
+
+
+def _unpack_run(payload: bytes, inflate) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and what is kept of their signatures."""
+    count, size = struct.unpack_from("<II", payload)
+    head = np.frombuffer(inflate(payload[8 : 8 + size]), np.uint8)
+    names = np.cumsum(np.ascontiguousarray(head[: 8 * count].reshape(8, -1).T).view(np.int64).ravel())
+    runs = np.ascontiguousarray(head[8 * count :].reshape(4, -1).T).view("<u4").ravel()
+    sigs = np.zeros((int(runs.sum()), 8), np.uint8)
+    sigs[:, 3:] = np.frombuffer(payload, np.uint8, -1, 8 + size).reshape(-1, 5)
+    return np.repeat(names, runs), sigs.view(U).ravel()
+
+
 def _sign(n: int, num: int, den: int, buckets: int, hot: np.ndarray, key: int):
-    """Signatures by bucket; within a chunk, sharers are joined to their smallest document at once (bucket -1 rows)."""
+    """Signatures by bucket; within a run, sharers are joined to their smallest document at once (bucket -1 rows)."""
 
     def run(batches):
         import pyarrow as pa
         import zstandard
 
-        squeeze, scheme = zstandard.ZstdCompressor(level=1).compress, Partitions(num, den)
+        squeeze, scheme, held = zstandard.ZstdCompressor(level=1).compress, Partitions(num, den), []
+
+        def flush():
+            sig, doc = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            bucket = (sig % U(buckets)).astype(np.int64)
+            order = np.lexsort((doc, sig, bucket))
+            sig, doc, bucket = sig[order], doc[order], bucket[order]
+            lead = np.concatenate(([True], sig[1:] != sig[:-1]))[: len(sig)]
+            head = np.maximum.accumulate(np.where(lead, np.arange(len(sig)), 0))
+            pairs = np.unique(np.stack([doc[head[~lead]], doc[~lead]], 1), axis=0)
+            rows = [(-1, pairs.astype(np.int64).tobytes())] if len(pairs) else []
+            sig, doc, bucket = sig[lead], doc[lead], bucket[lead]
+            cuts = np.searchsorted(bucket, np.arange(buckets + 1)).tolist()
+            for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                if a < b:
+                    by_doc = np.argsort(doc[a:b], kind="stable")
+                    rows.append((k, _pack_run(doc[a:b][by_doc], sig[a:b][by_doc], squeeze)))
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "payload"])
+
         for batch in batches:
             for ids, texts in _texts(batch):
                 order = np.argsort(ids, kind="stable")
@@ -200,26 +253,13 @@ def _sign(n: int, num: int, den: int, buckets: int, hot: np.ndarray, key: int):
                 sets = sets[np.repeat(keep, np.diff(bounds))]
                 bounds = np.concatenate(([0], np.cumsum(np.diff(bounds)[keep])))
                 own = ids[keep]
-                if not len(own):
-                    continue
-                sig, who = scheme.signatures(sets, bounds, hot)
-                bucket = (sig % U(buckets)).astype(np.int64)
-                order = np.lexsort((who, sig, bucket))
-                sig, who, bucket = sig[order], who[order], bucket[order]
-                lead = np.concatenate(([True], sig[1:] != sig[:-1]))[: len(sig)]
-                head = np.maximum.accumulate(np.where(lead, np.arange(len(sig)), 0))
-                pairs = np.unique(np.stack([own[who[head[~lead]]], own[who[~lead]]], 1), axis=0)
-                rows = [(-1, pairs.astype(np.int64).tobytes())] if len(pairs) else []
-                sig, who, bucket = sig[lead], who[lead], bucket[lead]
-                cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-                for k in range(buckets):
-                    a, b = cuts[k], cuts[k + 1]
-                    if a < b:  # documents in order, so that each is named once for a run of signatures
-                        by_doc = np.argsort(who[a:b], kind="stable")
-                        docs, runs = np.unique(who[a:b], return_counts=True)
-                        head = squeeze(np.diff(own[docs].astype(np.int64), prepend=0).tobytes() + runs.astype(np.uint32).tobytes())
-                        rows.append((k, struct.pack("<II", len(docs), len(head)) + head + sig[a:b][by_doc].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "payload"])
+                if len(own):
+                    sig, who = scheme.signatures(sets, bounds, hot)
+                    held.append((sig, own[who].astype(np.int64)))
+                if sum(len(sig) for sig, _ in held) >= RUN:
+                    yield flush()
+        if held:
+            yield flush()
 
     return run
 
@@ -240,10 +280,9 @@ def _stars(parts: int):
                 if bucket < 0:
                     found.append(np.frombuffer(payload, np.int64).reshape(-1, 2)[:, ::-1])
                     continue
-                count, size = struct.unpack_from("<II", payload)
-                head = inflate(payload[8 : 8 + size])
-                docs.append(np.repeat(np.cumsum(np.frombuffer(head, np.int64, count)), np.frombuffer(head, np.uint32, count, 8 * count)))
-                sigs.append(np.frombuffer(payload, U, -1, 8 + size))
+                doc, sig = _unpack_run(payload, inflate)
+                docs.append(doc)
+                sigs.append(sig)
         if sigs:
             sig, doc = np.concatenate(sigs), np.concatenate(docs)
             del sigs, docs

@@ -68,6 +68,40 @@ def test_signatures_miss_no_linked_pair():
             assert set(sig[who == 0]) & set(sig[who == 1])
 
 
+def test_sets_that_share_a_few_tokens_do_not_meet():
+    rng, met = np.random.default_rng(11), 0
+    for _ in range(300):
+        common = rng.integers(0, 2**64, 40, np.uint64)
+        sets = [np.unique(np.concatenate([common, rng.integers(0, 2**64, 400, np.uint64)])) for _ in range(2)]
+        bounds = np.array([0, len(sets[0]), len(sets[0]) + len(sets[1])])
+        sig, who = J.Partitions(80, 100).signatures(np.concatenate(sets), bounds, np.zeros(0, np.uint64))
+        met += bool(set(sig[who == 0]) & set(sig[who == 1]))
+        assert len(sig) <= 2 * sum(len(s) // 4 + 1 for s in sets)
+    assert met <= 10  # chance lets a few meet
+
+
+def test_a_bucket_gets_the_signatures_of_many_chunks_at_once(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(J, "CHUNK", 2000)
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 100)) for _ in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array([(i + 1) << 33 for i in range(60)]), pa.array(texts)], ["doc_id", "text"])
+    rows = [r for b in J._sign(5, 80, 100, 16, np.zeros(0, np.uint64), 1)(iter([batch])) for r in b["bucket"].to_pylist()]
+    assert sorted(rows) == list(range(16))
+
+
+def test_packed_signatures_come_back():
+    import zstandard
+
+    rng = np.random.default_rng(4)
+    docs = np.sort(rng.integers(-(2**62), 2**62, 50))[rng.integers(0, 50, 400)]
+    docs.sort()
+    sigs = rng.integers(0, 2**63, 400).astype(np.uint64)
+    got = J._unpack_run(J._pack_run(docs, sigs, zstandard.ZstdCompressor(level=1).compress), zstandard.ZstdDecompressor().decompress)
+    assert np.array_equal(got[0], docs) and np.array_equal(got[1] >> np.uint64(24), sigs >> np.uint64(24))
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(5, 3), (3, 9), (9, 9), (20, 21), (None, 4), (21, 22), (22, 23), (23, 24)], "a long, b long")
     assert {(r.id, r.component) for r in connected_components(edges, "t").collect()} == {(3, 3), (5, 3), (9, 3), *((i, 20) for i in range(20, 25))}
