@@ -25,7 +25,7 @@ from graphloom.llm import kernels as K
 from graphloom.llm.components import connected_components
 from graphloom.llm.id_bits import flag_listed
 from graphloom.llm.substring_dedup import member
-from graphloom.storage import bucket_count, materialize
+from graphloom.storage import bound_batches, bucket_count, materialize
 
 U = np.uint64
 CHUNK = 1 << 20
@@ -307,16 +307,22 @@ def _stars(parts: int):
 
 
 def _contract(found: list[np.ndarray]) -> np.ndarray:
-    """(member, root) pairs that connect what the given pairs connect: one for each member that is no root."""
+    """(member, root) pairs that connect what the given pairs connect: one for each member that is no root. Roots are the smallest."""
     if not found:
         return np.zeros((0, 2), np.int64)
-    pairs = np.unique(np.concatenate(found), axis=0)
-    forest = Forest()
-    for x, y in pairs.tolist():
-        forest.join(x, y)
-    members = list(forest.up)
-    out = np.array([(x, forest.find(x)) for x in members], np.int64).reshape(-1, 2)
-    return out[out[:, 0] != out[:, 1]]
+    names, ends = np.unique(np.concatenate(found), return_inverse=True)
+    ends = ends.reshape(-1, 2).astype(np.int32 if len(names) < 1 << 31 else np.int64)
+    x, y = ends[:, 0], ends[:, 1]
+    root = np.arange(len(names), dtype=ends.dtype)
+    while len(x):  # roots go below the smallest root that they meet, until none meet
+        u, v = root[x], root[y]
+        apart = u != v
+        x, y, u, v = x[apart], y[apart], u[apart], v[apart]
+        np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+        while not np.array_equal(above := root[root], root):
+            root = above
+    member = np.flatnonzero(root != np.arange(len(names)))
+    return np.stack([names[member], names[root[member]]], 1)
 
 
 def _merge(batches):
@@ -500,8 +506,9 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     num, den = threshold
     spark, key = docs.sparkSession, K.fresh_key()
+    bound_batches(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    buckets = bucket_count(base, 4 << 20)
+    buckets = bucket_count(base, 2 << 20)
     label = f"jaccard-{uuid.uuid4().hex[:8]}"
     known = base.where("doc_id is not null")
     sets = materialize(base.mapInArrow(K.released(_describe(n, key)), "doc_id long, n_shingles long, k1 long, k2 long"), label)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import kernels as K
-from graphloom.storage import bucket_count, free_name, with_row_id
+from graphloom.storage import bound_batches, bucket_count, free_name, with_row_id
 
 U = np.uint64
 TOP = U(2**64 - 1)
@@ -374,6 +374,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError("min_words must be at least 2")
     k = max(1, min_words // 4)
     spark, key = docs.sparkSession, K.fresh_key()
+    bound_batches(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     base = with_row_id(base, free_name(base, "row_id"))
     buckets = bucket_count(base, BUCKET_BYTES)

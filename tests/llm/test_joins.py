@@ -91,6 +91,33 @@ def test_a_bucket_gets_the_signatures_of_many_chunks_at_once(monkeypatch):
     assert sorted(rows) == list(range(16))
 
 
+def test_contracted_pairs_connect_the_same():
+    rng = np.random.default_rng(6)
+    for most in (40, 400, 4000):
+        pairs = rng.integers(-most, most, (300, 2)) * (1 << 40)
+        forest = J.Forest()
+        for x, y in pairs.tolist():
+            forest.join(x, y)
+        want = {(x, forest.find(x)) for x in pairs.ravel().tolist() if forest.find(x) != x}
+        got = J._contract([pairs[:100], pairs[100:]])
+        assert got.dtype == np.int64 and len(got) == len(want) and {tuple(r) for r in got.tolist()} == want
+
+
+def test_long_texts_go_to_workers_in_bounded_batches(spark):
+    import pyarrow as pa
+
+    from graphloom.storage import BATCH_BYTES
+
+    J.ngram_jaccard_join(frame(spark, [(1, "a b c d e", None, None, None)]))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "size"])
+
+    rows = spark.range(3000, numPartitions=1).selectExpr("id", "repeat('word ', 2000) as text").mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r.n for r in rows) == 3000 and max(r.size for r in rows) < BATCH_BYTES + (1 << 16)
+
+
 def test_packed_signatures_come_back():
     import zstandard
 
