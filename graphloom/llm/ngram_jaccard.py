@@ -518,6 +518,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     hot = np.sort(small.select("token").toPandas()["token"].to_numpy(np.int64).view(U))
     signed = known.mapInArrow(K.released(_sign(n, num, den, buckets, hot, key)), "bucket int, payload binary")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    links = max(tasks, buckets // 2)  # tasks of the prefix trees, each of which writes a file
     met = signed.repartition(buckets, F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.xxhash64("payload"))).mapInArrow(K.released(_stars(tasks)), "part int, payload binary")
     stars = met.repartition(tasks, "part").mapInArrow(K.released(_merge), "a long, b long")
     groups = materialize(connected_components(stars, f"{label}-candidates"), f"{label}-groups")
@@ -529,10 +530,10 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = materialize(members, f"{label}-members")
     rows = flag_listed(known, members, "doc_id", "listed").where("listed").join(members, "doc_id").select("doc_id", "text", "grp", "block", "blocks").mapInArrow(K.released(_tokens(n, key)), "doc_id long, grp long, block long, blocks long, tokens binary")
     task = F.xxhash64("grp", "block")
-    local = materialize(_link(rows.withColumns({"task": task, "side": F.lit(0), "component": F.lit(None).cast("long")}), num, den, buckets), f"{label}-local")
+    local = materialize(_link(rows.withColumns({"task": task, "side": F.lit(0), "component": F.lit(None).cast("long")}), num, den, links), f"{label}-local")
     found = local
     if members.where("blocks > 1").limit(1).count():
-        found = _across_blocks(rows.where("blocks > 1"), local, num, den, buckets, label)
+        found = _across_blocks(rows.where("blocks > 1"), local, num, den, links, label)
     linked = connected_components(found, f"{label}-links")
     reps = firsts.join(linked.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
     out = sets.join(reps, ["k1", "k2"], "left")
